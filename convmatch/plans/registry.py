@@ -1,4 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_match, queries_text
+
+QUERIES: dict = queries_text.QUERIES | queries_match.QUERIES
+ORACLE_SQL: dict = queries_text.ORACLE_SQL | queries_match.ORACLE_SQL
