@@ -128,8 +128,8 @@ def v14(spark, sf):
     return _knn(spark, sf).select("q_id", "c_id", F.round(V.scaled(F.col("distance") - 0.2), 6).alias("scaled"))
 
 
-@query("v15_mixed_threshold", f"""WITH {KNN_OTHER}, m AS (SELECT *, bool_or(distance <= 0.6) OVER (PARTITION BY q_id) AS some FROM knn)
-  SELECT q_id, c_id, distance <= 0.6 AS meets FROM m WHERE NOT some OR distance <= 0.6""")
+@query("v15_mixed_threshold", f"""WITH {KNN_OTHER}, m AS (SELECT *, bool_or(distance <= 0.6) OVER (PARTITION BY q_id) AS any_within FROM knn)
+  SELECT q_id, c_id, distance <= 0.6 AS meets FROM m WHERE NOT any_within OR distance <= 0.6""")
 def v15(spark, sf):
     return similarity.mixed_threshold(_knn(spark, sf), "q_id", "distance", 0.6).select("q_id", "c_id", "meets")
 
