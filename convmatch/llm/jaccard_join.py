@@ -12,11 +12,13 @@ The boundary is where enumeration would cost more keys than ``cost`` times the l
 (``subset_boundary``); sets near it do both, so that a pair across it meets in the lists.
 
 The order of shingles is light before heavy, then by hash.  Heavy are the shingles found in
-most prefixes, at most ``max_heavy`` of them, counted over all documents; so a phrase that
-many documents share seldom leads a list.  Any order gives the same result.
+most documents, at most ``max_heavy`` of them; so a phrase that many documents share seldom
+leads a list.  All documents are counted: every shingle near the front of the hash order, and
+of the others those that one batch of rows holds twice.  Any order gives the same result.
 
 Equal sets are one set.  Within a list, not all pairs are made.  First each set meets the
-list's centre; what links joins one component.  Then only sets of different components meet:
+list's centre, the set with the least share of light shingles (what most copies have in
+common); what links joins one component.  Then only sets of different components meet:
 all such pairs of a short list, and in a long list the sets that did not join the centre's
 component against the rest.  A pair that both rounds leave out is in one component already.
 Before texts are read, a pair must pass an exact lower bound of its sets' difference (counts
@@ -80,12 +82,15 @@ def _set_key(s: np.ndarray) -> int:
 
 def _light_first(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """The set in the join's order; ``heavy`` holds sorted 32-bit tokens."""
+    h = _is_heavy(s, heavy)
+    return np.concatenate([s[~h], s[h]]) if h.any() else s
+
+
+def _is_heavy(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     if len(heavy) == 0:
-        return s
+        return np.zeros(len(s), dtype=bool)
     tok = _token(s)
-    at = np.searchsorted(heavy, tok).clip(0, len(heavy) - 1)
-    is_heavy = heavy[at] == tok
-    return np.concatenate([s[~is_heavy], s[is_heavy]]) if is_heavy.any() else s
+    return heavy[np.searchsorted(heavy, tok).clip(0, len(heavy) - 1)] == tok
 
 
 def _token(s: np.ndarray) -> np.ndarray:
@@ -120,10 +125,16 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int32)
         for b in batches:
-            got = [listed_tokens(s, none, 1.5) for _, s in _sets(b, 0, k)]
-            if got:
-                tok, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(n)], ["_t", "_c"])
+            first, rest = [], []
+            for _, s in _sets(b, 0, k):
+                own = listed_tokens(s, none, 1.25)
+                first.append(own)
+                if len(own):
+                    rest.append(_token(s[len(own) :]))
+            for toks, least in ((first, 1), (rest, 2)):
+                if toks:
+                    tok, n = np.unique(np.concatenate(toks), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tok[n >= least]), pa.array(n[n >= least])], ["_t", "_c"])
 
     often = base.select("text").mapInArrow(count_rows, "_t int, _c long").groupBy("_t").agg(F.sum("_c").alias("_c")).where(F.col("_c") > short)
     top = often.orderBy(F.desc("_c"), "_t").limit(max_heavy).select("_t").toArrow().column(0)
@@ -145,36 +156,40 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                     parts = [_token(np.concatenate(parts))]
                 if n >= least_listed:
                     parts.append(listed_tokens(s, hv))
+                light = n - int(_is_heavy(s, hv).sum())
+                rank = (int(1000 * light / max(1, n)) << 53) | ((key >> 11) & (2**53 - 1))
                 sketch = np.bincount((s & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES).clip(0, 255).astype(np.uint8).tobytes()
-                rows.append((ids[i], ths[i], n, key, sketch))
+                rows.append((ids[i], ths[i], n, key, sketch, rank))
                 t = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
                 sets.append(t)
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                         pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
-                        pa.array([r[4] for r in rows], pa.binary()),
+                        pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.int64()),
                         pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(t) for t in sets])].astype(np.int32), np.concatenate(sets)),
                     ],
-                    ["_id", "_th", "_n", "_set", "_sketch", "_tokens"],
+                    ["_id", "_th", "_n", "_set", "_sketch", "_rank", "_tokens"],
                 )
 
-    schema = "_id long, _th long, _n long, _set long, _sketch binary, _tokens array<int>"
+    schema = "_id long, _th int, _n long, _set long, _sketch binary, _rank long, _tokens array<int>"
     rows = written(base.select("_id", "_th", "text").mapInArrow(posting_rows, schema))
     members = rows.select(F.when(F.col("_id") != -(2**63), F.col("_id")).alias("doc_id"), "_n", "_set")
     # one row for each distinct set: its least document stands for it
     sets = written(
         rows.where("_n > 0")
         .groupBy("_set", "_n")
-        .agg(F.min(F.struct(F.when(F.col("_id") != -(2**63), F.col("_id")).isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"))
-        .select("_set", "_n", "_sketch", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"))
+        .agg(F.min(F.struct(F.when(F.col("_id") != -(2**63), F.col("_id")).isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"), F.min("_rank").alias("_rank"))
+        .select("_set", "_n", "_sketch", "_rank", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"))
     )
     postings = rows.where("_n > 0").join(sets.select("_set", "_n", "_id", "_th"), ["_set", "_n", "_id", "_th"], "left_semi")
-    postings = postings.select("_set", "_n", F.explode("_tokens").alias("_t"))
-    lists = postings.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"), F.max("_set").alias("_centre"), F.min("_set").alias("_low"))
-    lists = lists.where("_centre <> _low").select("_t", "_c", "_centre")
-    live = written(postings.join(lists, "_t"))
+    postings = postings.select("_set", "_n", "_rank", F.explode("_tokens").alias("_t"))
+    # the rank names the centre: a light share and 53 bits of the set's hash
+    lists = postings.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_least"), F.max("_rank").alias("_most"))
+    lists = lists.where("_c > 1 and _least <> _most").select("_t", "_c", "_least")
+    centres = sets.select(F.col("_rank").alias("_least"), F.col("_set").alias("_centre")).dropDuplicates(["_least"])
+    live = written(postings.select("_set", "_n", "_t").join(lists, "_t").join(centres, "_least").drop("_least"))
 
     sized = sets.select("_set", "_n", "_sketch")
 
