@@ -41,10 +41,10 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two never-null longs that name a row up to exact repeats of (doc_id, text)."""
+    """A never-null long and int that name a row up to exact repeats of (doc_id, text)."""
     return [
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_id"),
-        F.xxhash64(F.col(text), F.col(doc_id).isNull(), F.col(text).isNull()).alias("_th"),
+        F.hash(F.col(text), F.col(doc_id).isNull(), F.col(text).isNull()).alias("_th"),
     ]
 
 

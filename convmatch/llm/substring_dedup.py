@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, row_key, written
+from .common import columns, row_key
 from .wordhash import batches_of_texts, sliding_argmin, text_word_hashes, window_hashes
 
 
@@ -136,16 +136,20 @@ def repeated_windows(segments: list[tuple[bytes, int]], window: int) -> list[int
     return out
 
 
-def _anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of one text: hash (32 bits), first and last window start, and k-gram hashes."""
+def segment_hash(segment: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
+
+
+def _anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of one text: hash (32 bits), first and last window start."""
     grams = window_hashes(h, k)
     at = sliding_argmin(grams, window - k + 1)
     if len(at) == 0:
         none = np.empty(0, dtype=np.int32)
-        return none, none, none, grams
+        return none, none, none
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], len(at)] - 1
-    return (grams[at[first]] >> np.uint64(32)).astype(np.uint32).view(np.int32), first.astype(np.int32), last.astype(np.int32), grams
+    return (grams[at[first]] >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last
 
 
 def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -168,19 +172,18 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
                 h, at = text_word_hashes(buf, offsets)
                 got, own = [], []
                 for i in range(hi - lo):
-                    a, s, e, _ = _anchors(h[at[i] : at[i + 1]], window, k)
+                    a, s, e = _anchors(h[at[i] : at[i + 1]], window, k)
                     if len(a):
-                        got.append((a, s, e))
+                        got.append((a, s * 64 + (e - s)))  # window - k + 1 starts at most
                         own.append(np.full(len(a), lo + i))
                 if got:
                     o = np.concatenate(own)
-                    a, s, e = (np.concatenate(x) for x in zip(*got))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[o]), pa.array(ths[o]), pa.array(s), pa.array(e)], ["_a", "_id", "_th", "_s", "_e"])
+                    a, s = (np.concatenate(x) for x in zip(*got))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[o]), pa.array(ths[o]), pa.array(s.astype(np.int64))], ["_a", "_id", "_th", "_s"])
 
-    anchors = base.select("_id", "_th", "text").mapInArrow(anchor_rows, "_a int, _id long, _th long, _s int, _e int")
-    anchors = written(anchors)
+    anchors = base.select("_id", "_th", "text").mapInArrow(anchor_rows, "_a int, _id long, _th int, _s long")
     twice = anchors.groupBy("_a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_a", (F.col("_c") >= hot).alias("_hot"))
-    hits = anchors.join(twice, "_a").groupBy("_id", "_th").agg(F.collect_set(F.struct("_a", "_s", "_e", "_hot")).alias("_hits"))
+    hits = anchors.join(twice, "_a").groupBy("_id", "_th").agg(F.collect_set(F.struct("_a", "_s", "_hot")).alias("_hits"))
     near = zipped(base).join(hits, ["_id", "_th"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +193,7 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
             out: dict[str, list] = {n: [] for n in names}
 
             def flush() -> pa.RecordBatch:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
                 got = pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names)
                 for n in names:
                     out[n].clear()
@@ -200,11 +203,12 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
                 row_id, th, text = b.column(0)[i].as_py(), b.column(1)[i].as_py(), unzip(b.column(2)[i].as_py())
                 starts, ends = _word_places(text)
                 for hit in b.column(3)[i].as_py():
-                    first, last = hit["_s"], hit["_e"]
+                    first = hit["_s"] >> 6
+                    last = first + (hit["_s"] & 63)
                     cuts = [(s, s) for s in range(first, last + 1)] if hit["_hot"] else [(first, last)]
                     for s, e in cuts:
                         seg = b" ".join(text[starts[s] : ends[e + window - 1]].split())
-                        sh = int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
+                        sh = segment_hash(seg)
                         for n, x in zip(names, (hit["_a"], sh if hit["_hot"] else 0, sh, seg, row_id, th, s)):
                             out[n].append(x)
                 if len(out["_a"]) > 20_000:
@@ -212,8 +216,8 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
             if out["_a"]:
                 yield flush()
 
-    cut = near.select("_id", "_th", "_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _seg binary, _id long, _th long, _at int")
-    distinct = cut.groupBy("_a", "_sub", "_sh", "_seg").agg(F.count(F.lit(1)).alias("_c"))
+    cut = near.select("_id", "_th", "_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _seg binary, _id long, _th int, _at int")
+    distinct = cut.groupBy("_a", "_sub", "_seg").agg(F.count(F.lit(1)).alias("_c"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (_a, _sub); a group is complete when the next one starts."""
@@ -221,9 +225,9 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
         out: list[tuple] = []
 
         def close() -> None:
-            for (_, _, sh), bits in zip(group, repeated_windows([(g[0], g[1]) for g in group], window)):
+            for (seg, _), bits in zip(group, repeated_windows(group, window)):
                 if bits:
-                    out.append((key[0], key[1], sh, bits))
+                    out.append((key[0], key[1], segment_hash(seg), bits))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out))
@@ -231,14 +235,14 @@ def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["_a", "_sub", "_sh", "_bits"])
 
         for b in batches:
-            for a, sub, sh, seg, c in zip(*(b.column(j).to_pylist() for j in range(5))):
+            for a, sub, seg, c in zip(*(b.column(j).to_pylist() for j in range(4))):
                 if (a, sub) != key:
                     if group:
                         close()
                     key, group = (a, sub), []
                     if len(out) > 20_000:
                         yield flush()
-                group.append((seg, c, sh))
+                group.append((seg, c))
         if group:
             close()
         if out:
@@ -258,7 +262,7 @@ def zipped(base: DataFrame) -> DataFrame:
             z = [pack((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["_id", "_th", "_z"])
 
-    return base.select("_id", "_th", "text").mapInArrow(run, "_id long, _th long, _z binary")
+    return base.select("_id", "_th", "text").mapInArrow(run, "_id long, _th int, _z binary")
 
 
 def covered_words(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
