@@ -21,6 +21,10 @@ list's centre, the set with the least share of light shingles (what most copies
 common); what links joins one component.  Then only sets of different components meet:
 all such pairs of a short list, and in a long list the sets that did not join the centre's
 component against the rest.  A pair that both rounds leave out is in one component already.
+A list's shingle stands at some place of each set's order; if it is a pair's first common
+shingle, the overlap is at most what either set has from there on, and where that is too
+little the pair does not meet in this list.  So edited copies, whose own light shingles come
+first, do not meet in the lists of the passage they were copied from.
 Before texts are read, a pair must pass an exact lower bound of its sets' difference (counts
 of shingles by hash class), and only pairs that pass are counted shingle by shingle.
 """
@@ -34,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, components, row_key, written
@@ -147,15 +151,15 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
             rows, toks, own, size, sets = [], [], [], [], []
             for i, s in _sets(b, 2, k):
                 n, key = len(s), _set_key(s)
-                parts = []
+                # listed shingles come first, so that their index is their place in the order
+                parts = [listed_tokens(s, hv)] if n >= least_listed else []
                 if 0 < n <= small:
+                    subsets = []
                     for c in range(least_subset(n, percent), n + 1):
                         for sub in combinations(s.tolist(), c):
                             x = sum(sub) + 0x9E3779B97F4A7C15 * c
-                            parts.append(mix(np.array([x & (2**64 - 1)], dtype=np.uint64)))
-                    parts = [_token(np.concatenate(parts))]
-                if n >= least_listed:
-                    parts.append(listed_tokens(s, hv))
+                            subsets.append(mix(np.array([x & (2**64 - 1)], dtype=np.uint64)))
+                    parts.append(_token(np.concatenate(subsets)))
                 light = n - int(_is_heavy(s, hv).sum())
                 rank = (int(1000 * light / max(1, n)) << 53) | ((key >> 11) & (2**53 - 1))
                 sketch = np.bincount((s & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES).clip(0, 255).astype(np.uint8).tobytes()
@@ -184,12 +188,15 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
         .select("_set", "_n", "_sketch", "_rank", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"))
     )
     postings = rows.where("_n > 0").join(sets.select("_set", "_n", "_id", "_th"), ["_set", "_n", "_id", "_th"], "left_semi")
-    postings = postings.select("_set", "_n", "_rank", F.explode("_tokens").alias("_t"))
+    postings = postings.select("_set", "_n", "_rank", F.posexplode("_tokens").alias("_at", "_t"))
+    listed = F.when(F.col("_n") >= least_listed, F.col("_n") - F.ceil(percent * F.col("_n") / 100) + 1).otherwise(0)
+    # what a set has from a shingle's place on: the most it can share with a set that it first meets there
+    postings = postings.withColumn("_rest", F.when(F.col("_at") < listed, F.col("_n") - F.col("_at")).otherwise(F.col("_n"))).drop("_at")
     # the rank names the centre: a light share and 53 bits of the set's hash
     lists = postings.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_least"), F.max("_rank").alias("_most"))
     lists = lists.where("_c > 1 and _least <> _most").select("_t", "_c", "_least")
     centres = sets.select(F.col("_rank").alias("_least"), F.col("_set").alias("_centre")).dropDuplicates(["_least"])
-    live = written(postings.select("_set", "_n", "_t").join(lists, "_t").join(centres, "_least").drop("_least"))
+    live = written(postings.select("_set", "_n", "_rest", "_t").join(lists, "_t").join(centres, "_least").drop("_least"))
 
     sized = sets.select("_set", "_n", "_sketch")
 
@@ -238,28 +245,36 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     label = written(components(first.select(F.col("_a").alias("a"), F.col("_b").alias("b")), spark))
     tagged = live.join(label.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_k", F.coalesce("component", "_set")).drop("component")
     middle = label.select(F.col("node").alias("_centre"), F.col("component").alias("_ck"))
-    tagged = written(tagged.join(middle, "_centre", "left").withColumn("_ck", F.coalesce("_ck", "_centre")).select("_t", "_c", "_set", "_n", "_k", "_ck"))
+    tagged = written(tagged.join(middle, "_centre", "left").withColumn("_ck", F.coalesce("_ck", "_centre")).select("_t", "_c", "_set", "_n", "_rest", "_k", "_ck"))
+
+    def enough(overlap: Column, a: Column, b: Column) -> Column:
+        """Whether sets of sizes a and b with this overlap are similar."""
+        return overlap * (100 + percent) >= (a + b) * percent
+
     left = tagged.where(F.col("_c") > short).where("_k <> _ck")
     grouped = (
         tagged.where(F.col("_c") <= short)
         .groupBy("_t")
-        .agg(F.collect_list(F.struct("_n", "_set", "_k")).alias("m"), F.min("_k").alias("lo"), F.max("_k").alias("hi"))
+        .agg(F.collect_list(F.struct("_n", "_rest", "_set", "_k")).alias("m"), F.min("_k").alias("lo"), F.max("_k").alias("hi"))
         .where("lo <> hi")
     )
     met = F.transform(
         "m",
         lambda x: F.transform(
-            F.filter("m", lambda y: (x["_set"] < y["_set"]) & (x["_k"] != y["_k"]) & (F.least(x["_n"], y["_n"]) * 100 >= F.greatest(x["_n"], y["_n"]) * percent)),
+            F.filter("m", lambda y: (x["_set"] < y["_set"]) & (x["_k"] != y["_k"]) & enough(F.least(x["_rest"], y["_rest"]), x["_n"], y["_n"])),
             lambda y: F.struct(x["_set"].alias("x"), y["_set"].alias("y")),
         ),
     )
     near = grouped.select(F.explode(F.flatten(met)).alias("p")).select("p.x", "p.y")
-    # long lists: sizes are met class by class, where a class spans a ratio of the threshold
-    step = math.log(100 / percent)
+    # long lists: sizes are met class by class, four classes to a ratio of the threshold; a set
+    # visits the classes whose least size its rest suffices for
+    step = math.log(100 / percent) / 4
     size_class = F.floor(F.log(F.col("_n").cast("double")) / step).cast("int")
-    one = left.select("_t", F.col("_set").alias("x"), F.col("_k").alias("kx"), F.col("_n").alias("nx"), F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("_sc"))
-    rest = tagged.where(F.col("_c") > short).select("_t", F.col("_set").alias("y"), F.col("_k").alias("ky"), F.col("_n").alias("ny"), size_class.alias("_sc"))
-    far = one.join(rest, ["_t", "_sc"]).where((F.col("kx") != F.col("ky")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)).select("x", "y")
+    least_size = F.exp(F.col("_sc") * step) * (1 - 1e-9)
+    one = left.select("_t", F.col("_set").alias("x"), F.col("_k").alias("kx"), F.col("_n").alias("nx"), F.col("_rest").alias("rx"), F.explode(F.sequence(size_class - 5, size_class + 5)).alias("_sc"))
+    one = one.where(enough(F.least(F.col("rx").cast("double"), least_size * math.exp(step) + 1), F.col("nx"), least_size))
+    rest = tagged.where(F.col("_c") > short).select("_t", F.col("_set").alias("y"), F.col("_k").alias("ky"), F.col("_n").alias("ny"), F.col("_rest").alias("ry"), size_class.alias("_sc"))
+    far = one.join(rest, ["_t", "_sc"]).where((F.col("kx") != F.col("ky")) & enough(F.least("rx", "ry"), F.col("nx"), F.col("ny"))).select("x", "y")
     second = verified(pairs_of("x", "y", near.unionByName(far)))
 
     rep = sets.where(F.col("_id") != -(2**63)).select("_set", "_id")
