@@ -196,7 +196,8 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     lists = postings.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_least"), F.max("_rank").alias("_most"))
     lists = lists.where("_c > 1 and _least <> _most").select("_t", "_c", "_least")
     centres = sets.select(F.col("_rank").alias("_least"), F.col("_set").alias("_centre")).dropDuplicates(["_least"])
-    live = written(postings.select("_set", "_n", "_rest", "_t").join(lists, "_t").join(centres, "_least").drop("_least"))
+    # one row a list, not one a posting, looks up its centre
+    live = written(postings.select("_set", "_n", "_rest", "_t").join(lists.join(centres, "_least").drop("_least"), "_t"))
 
     sized = sets.select("_set", "_n", "_sketch")
 
