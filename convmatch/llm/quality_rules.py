@@ -137,22 +137,23 @@ def fit_robust(stats: DataFrame, min_rows: int = 60, share: float = 0.75, steps:
     Rows that fail a base rule take no part.  The first subset is the ``share`` of rows
     nearest to the coordinatewise medians; each concentration step takes mean and covariance
     of the subset and then the ``share`` of rows nearest to them, which never raises the
-    determinant.  Quantiles and moments are partial aggregates, so one hot source costs no
-    more in one task than any other.  Groups under ``min_rows`` share the pooled estimate,
+    determinant.  Quantiles and moments are partial aggregates, and the tables of one row a
+    group are written, so that Spark knows their sizes and broadcasts small ones instead of
+    dealing the rows by group: one hot source costs no more in one task than any other.  Groups under ``min_rows`` share the pooled estimate,
     which is kept under the key ``all``.
     """
     rows = stats.where(~base_failed()).select(group_key().alias("_g"), *[x.alias(f"_x{i}") for i, x in enumerate(features())])
-    large = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_rows).select("_g")
+    large = written(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_rows).select("_g"))
     rows = rows.join(large, "_g", "left_semi").unionByName(rows.withColumn("_g", F.lit("all")))
     x = [F.col(f"_x{i}") for i in range(_P)]
-    mid = rows.groupBy("_g").agg(F.struct(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]).alias("_m"))
+    mid = written(rows.groupBy("_g").agg(F.struct(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]).alias("_m")))
     first = F.lit(0.0)
     for i in range(_P):
         first = first + ((x[i] - F.col(f"_m.m{i}")) / _FLOORS[i]) ** 2
     near = rows.join(mid, "_g").withColumn("_d", first)
     params = None
     for _ in range(steps):
-        cut = near.groupBy("_g").agg(F.percentile_approx("_d", share, 1000).alias("_cut"))
+        cut = written(near.groupBy("_g").agg(F.percentile_approx("_d", share, 1000).alias("_cut")))
         params = written(_moments(near.join(cut, "_g").where("_d <= _cut")))
         near = rows.join(params, "_g").withColumn("_d", distance(F.col("_p"), x))
     # consistency: the median squared distance of clean rows is that of chi-squared
