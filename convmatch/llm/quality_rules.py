@@ -65,14 +65,18 @@ def with_stats(docs: DataFrame, window: int = 8) -> DataFrame:
         F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")),
         lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(window), p - s["last"])).alias("n")),
     )["n"]
-    stats = F.struct(
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.translate(text, WORD_SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
-    return d.withColumn("_s", stats).drop("_w", "_n", "_l", "_k", "_o", "_twice", "_q", "_at")
+    stats = [
+        F.col("_n"),
+        F.length(F.translate(text, WORD_SPACE, "")),
+        F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+        F.size("_l") - F.size(F.array_distinct("_l")),
+        F.coalesce(covered, F.lit(0)),
+    ]
+    # the struct holds plain columns: Spark puts a struct's parts wherever its fields are read,
+    # and a distance reads each many times
+    d = d.select("*", *[c.cast("long").alias(f"_s{i}") for i, c in enumerate(stats)])
+    d = d.withColumn("_s", F.struct(*[F.col(f"_s{i}").alias(c) for i, c in enumerate(_STATS)]))
+    return d.drop("_w", "_n", "_l", "_k", "_o", "_twice", "_q", "_at", *[f"_s{i}" for i in range(len(_STATS))])
 
 
 def base_failed() -> Column:
@@ -168,7 +172,10 @@ def _judge(rows: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
     d = rows.withColumn("_g", group_key()).join(own, "_g", "left").join(F.broadcast(pooled), how="left")  # one row at most
     p, scale = F.coalesce("_own", "_all"), F.coalesce("_own_scale", "_all_scale")
     d = d.withColumn("_p", p).withColumn("_d", distance(F.col("_p"), features()) / scale)
-    return d.withColumn("_kept", ~base_failed() & F.coalesce(F.col("_d") <= cutoff, F.lit(True)))
+    # one condition over both sides of the join: a base rule on its own would be pushed below the
+    # statistics, where their lambdas would run once for every element
+    far = F.greatest(F.coalesce("_d", F.lit(0.0)), base_failed().cast("double") * 1e300)
+    return d.withColumn("_kept", far <= cutoff)
 
 
 def judge_quality(docs: DataFrame, cutoff: float = 40.0) -> DataFrame:
