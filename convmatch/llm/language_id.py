@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import columns
 
 _DIM = 2048
+#: Rows of the sample that are in double precision at once while fitting.
+_BLOCK = 512
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that are no ASCII letter become a blank; bytes of other letters stay.
 _KEEP = np.where((np.arange(256) >= 128) | ((np.arange(256) >= 97) & (np.arange(256) <= 122)), np.arange(256), 32).astype(np.uint32)
@@ -92,7 +94,8 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, max_languages:
     """Learn from at most ``per_language`` distinct texts of every language.
 
     Rows without text or lang, and held-out rows, are left out.  The sample is taken by a
-    hash of the text; its features (2048 numbers a text), not its texts, reach the driver.
+    hash of the text; its features (2048 numbers a text), not its texts, reach the driver,
+    which adds them up in blocks.
     """
     rows = columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
@@ -110,25 +113,42 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, max_languages:
         .agg(F.min("text").alias("text"))
         .withColumn("_n", F.row_number().over(by_hash))
         .where(F.col("_n") <= per_language)
-        .select("lang", "text")
+        .select("lang", "_h", "text")
     )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [ngram_features(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
-
-    got = sample.mapInArrow(features, "lang string, x binary").toArrow().to_pydict()
-    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["x"][i]))
-    x = np.array([np.frombuffer(got["x"][i], dtype=np.float32) for i in order], dtype=float)
-    y = np.array([languages.index(got["lang"][i]) for i in order])
+            x = [ngram_features(t).astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "h", "x"])
+
+    got = sample.mapInArrow(features, "lang string, h long, x binary").toArrow()
+    x = np.empty((got.num_rows, _DIM), dtype=np.float32)
+    at = 0
+    for chunk in got.column("x").chunks:
+        for value in chunk:
+            x[at] = np.frombuffer(value.as_buffer(), dtype=np.float32)
+            at += 1
+    y, h = np.array([languages.index(v) for v in got.column("lang").to_pylist()], dtype=int), got.column("h").to_numpy()
+    del got
+    # sums are taken in one order, so that equal samples give equal models
+    order = np.lexsort((h, y))
+    y = y[order]
     code = codewords(len(languages))
     share = np.bincount(y, minlength=len(languages)).clip(1)
     weight = (len(y) / len(languages) / share[y])[:, None]
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    weights = np.linalg.solve(xb.T @ (xb * weight) + ridge * len(y) * np.eye(_DIM + 1) / _DIM, xb.T @ (code[y] * weight))
+    blocks = [slice(i, i + _BLOCK) for i in range(0, len(y), _BLOCK)]
+
+    def block(rows: slice) -> np.ndarray:
+        return np.hstack([x[order[rows]].astype(float), np.ones((len(order[rows]), 1))])
+
+    gram, target = ridge * len(y) * np.eye(_DIM + 1) / _DIM, np.zeros((_DIM + 1, code.shape[1]))
+    for rows in blocks:
+        xb = block(rows)
+        gram += xb.T @ (xb * weight[rows])
+        target += xb.T @ (code[y[rows]] * weight[rows])
+    weights = np.linalg.solve(gram, target)
     # a bit counts for a class by the share of the class's own texts on which it is right
-    right = ((xb @ weights) * code[y] > 0).astype(float)
+    right = np.vstack([np.empty((0, code.shape[1])), *[(block(rows) @ weights) * code[y[rows]] > 0 for rows in blocks]])
     seen = [c for c in range(len(languages)) if (y == c).any()]
     bit = np.array([right[y == c].mean(0) if c in seen else np.ones(code.shape[1]) for c in range(len(languages))]) + 1e-6
     return LanguageModel(languages, code, weights, bit / bit.sum(1, keepdims=True))
