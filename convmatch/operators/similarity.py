@@ -62,6 +62,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, other_users: bool =
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bucket_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:
+    """q_id, rank, c_id, d: approximate nearest by Euclidean distance, by random projections.
+
+    Candidates share a bucket with the query in one of ``tables``, at any distance; a query with
+    fewer than ``k`` is filled up with the nearest of the others.  Buckets are met inside the
+    blocks, so no candidate pair is a row before it is one of a block's ``k``.
+    """
+
+    def top(q: pd.DataFrame, c: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        if not len(q):
+            return pd.DataFrame({"q_id": [], "c_id": [], "apart": [], "d": []})
+        a, b, ids = np.stack(q["v"].to_numpy()), np.stack(c["w"].to_numpy()), c["c_id"].to_numpy()
+        planes = np.random.default_rng(seed).normal(size=(a.shape[1], tables))
+        planes /= np.linalg.norm(planes, axis=0) * bucket
+        apart = np.ones(s.shape, dtype=bool)
+        for x, y in zip(np.floor(a @ planes).T, np.floor(b @ planes).T):
+            apart &= x[:, None] != y[None]
+        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * s, 0))
+        out = []
+        for i, own in enumerate(q["q_id"]):
+            at = np.flatnonzero(ids != own)
+            at = at[np.lexsort((ids[at], d[i, at], apart[i, at]))[:k]]
+            out.append(pd.DataFrame({"q_id": own, "c_id": ids[at], "apart": apart[i, at], "d": d[i, at]}))
+        return pd.concat(out)
+
+    best = block_products(queries, vectors, top, "q_id long, c_id long, apart boolean, d double", blocks_for(queries), blocks_for(vectors))
+    w = Window.partitionBy("q_id")
+    best = best.withColumn("_n", F.row_number().over(w.orderBy("apart", "d", "c_id"))).where(F.col("_n") <= k)
+    return best.select("q_id", F.row_number().over(w.orderBy("d", "c_id")).alias("rank"), "c_id", "d")
+
+
 def user_similarity(vectors: DataFrame, sample: int = 100) -> DataFrame:
     """user_id, other_id, similarity for all ordered pairs of users.
 

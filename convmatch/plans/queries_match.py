@@ -83,15 +83,8 @@ def v6(spark, sf):
 @query("v7_lsh_nearest")
 def v7(spark, sf):
     """Approximate neighbours by random projections: candidates share a bucket, then exact."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    u = user_vec(spark, sf).select("conversation_id", array_to_vector("v").alias("f"))
-    m = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=8, seed=7).fit(u)
-    near = m.approxSimilarityJoin(u.where("conversation_id % 50 = 0"), u, 1.25, "d")
-    near = near.select(F.col("datasetA.conversation_id").alias("q_id"), F.col("datasetB.conversation_id").alias("c_id"), "d").where("q_id <> c_id")
-    w = Window.partitionBy("q_id").orderBy("d", "c_id")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 30").select("q_id", "rank", "c_id", F.round("d", 6).alias("d"))
+    q, c = _knn_inputs(spark, sf, 50)
+    return similarity.bucket_nearest(q, c, 30).withColumn("d", F.round("d", 6))
 
 
 @query("v8_user_similarity", f"WITH {SIMS} SELECT user_id, other_id, round(similarity, 6) AS similarity FROM sims")

@@ -28,6 +28,18 @@ def test_query_without_sql_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
 
+def test_lsh_recall(spark, sf):
+    want, got = ({(r["q_id"], r["c_id"]) for r in registry.QUERIES[n](spark, sf).select("q_id", "c_id").collect()} for n in ("v6_nearest", "v7_lsh_nearest"))
+    assert len(want & got) >= 0.9 * len(want)
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    q, c = df.where("id < 5").selectExpr("id as q_id", "0L as q_user", "v"), df.selectExpr("id as c_id", "0L as c_user", "v")
+    got = {(r["q_id"], r["rank"]): r["c_id"] for r in similarity.bucket_nearest(q, c, 30, bucket=1e-9).collect()}  # no bucket is shared
+    for i in range(5):
+        order = [j for j in np.argsort(((x - x[i]) ** 2).sum(1)) if j != i]
+        assert [got[i, n + 1] for n in range(30)] == order[:30]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
