@@ -354,11 +354,22 @@ def p2(spark, sf):
 BLOCK = """'ID: ' || row_idx || chr(10) || 'Title: No title' || chr(10) || 'Date: Unknown' || chr(10) || 'Summary: talk ' || conversation_id"""
 
 
+def _side_text(rows):
+    r = rows.select("*", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("date_text"), F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"))
+    return _ids(paths.side_text(r, [*GROUP, "cluster_id", "mine"], ["row_idx"]), "mine", "block")
+
+
 @query("p3_side_text", f"""WITH {ROWS} SELECT {IDS}, user_id = current_user_id AS mine, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY row_idx) AS block FROM (SELECT *, bool_or(user_id = current_user_id) OVER c AS a,
   bool_or(user_id <> current_user_id) OVER c AS b FROM idx WINDOW c AS (PARTITION BY {IDS})) WHERE a AND b AND row_idx % 5 <> 0 GROUP BY ALL""")
 def p3(spark, sf):
-    r = paths.rows_of_sides(_members(spark, sf)).where("row_idx % 5 <> 0").select("*", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("date_text"), F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"))
-    return _ids(paths.side_text(r, [*GROUP, "cluster_id", "mine"], ["row_idx"]), "mine", "block")
+    return _side_text(paths.rows_of_sides(_members(spark, sf)).where("row_idx % 5 <> 0"))
+
+
+@query("p3_all_side_text", f"""WITH {ROWS} SELECT {IDS}, user_id = current_user_id AS mine, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY row_idx) AS block FROM (SELECT *, bool_or(user_id = current_user_id) OVER c AS a,
+  bool_or(user_id <> current_user_id) OVER c AS b FROM idx WINDOW c AS (PARTITION BY {IDS})) WHERE a AND b GROUP BY ALL""")
+def p3_all(spark, sf):
+    """All rows, where p3_side_text leaves indices out as rounds do."""
+    return _side_text(paths.rows_of_sides(_members(spark, sf)))
 
 
 @query("p5_quota", f"""WITH {SIDES}, ratios(category, ratio) AS (VALUES ('research', 0.4), ('humanistic', 0.4), ('practical', 0.2), ('coding', 0.0)),

@@ -125,6 +125,12 @@ def r3(spark, sf):
     return d.select("doc_id", F.round(X.entropy(F.substring("text", 1, 40)), 6).alias("bits"))
 
 
+@query("r3_word_entropy")
+def r3_words(spark, sf):
+    """Every word of every document, where r3_entropy and its SQL hold 40 characters."""
+    return t(spark, sf, "documents").select("doc_id", X.word_entropies("text").alias("bits"))
+
+
 @query("r4_redact_secrets", f"""WITH w AS (SELECT doc_id, text, regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents),
   h AS (SELECT *, list_transform(ws, lambda s: length(s) >= 23 AND {_sql_entropy('s')} > 4.5) AS hit FROM w)
   SELECT doc_id, CASE WHEN list_contains(hit, true) THEN array_to_string(list_transform(ws, lambda s, i: CASE WHEN hit[i] THEN '[redacted]' ELSE s END), ' ')
@@ -286,6 +292,14 @@ def m3(spark, sf):
     return series.hourly(e, "ts", fill=True).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
+@query("m3_all_hourly_filled", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS total FROM events GROUP BY 1),
+  g AS (SELECT unnest(generate_series((SELECT min(hour) FROM h), (SELECT max(hour) FROM h), INTERVAL 1 HOUR)) AS hour)
+  SELECT strftime(g.hour, '%Y-%m-%d %H') AS hour, coalesce(total, 0) AS total FROM g LEFT JOIN h ON g.hour = h.hour""")
+def m3_all(spark, sf):
+    """All events, where m3_hourly_filled thins them for the sake of gaps."""
+    return series.hourly(t(spark, sf, "events"), "ts", fill=True).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
 @query("m4_gaps", """SELECT event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS since_start_us,
   coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS gap_us FROM events""")
 def m4(spark, sf):

@@ -99,6 +99,32 @@ def test_redaction(spark):
     assert got == ["é[redacted email]  tel [redacted phone]", "key [redacted] end", "two  blanks", None]
 
 
+def test_word_entropy(spark, tmp_path):
+    rows = [(1, "x" * 60 + " abcd\n aab  été"), (2, ""), (3, " \t"), (4, None), (5, " ".join(f"w{i}" for i in range(300)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def bits(w):
+        return -sum(w.count(c) / len(w) * np.log2(w.count(c) / len(w)) for c in set(w))
+
+    got = {r["doc_id"]: r["bits"] for r in registry.QUERIES["r3_word_entropy"](spark, str(tmp_path)).collect()}
+    assert got[4] is None
+    for i, t in rows:
+        if t is not None:
+            assert len(got[i]) == len(t.split()) and np.allclose(got[i], [bits(w) for w in t.split()], atol=1e-6)
+    words = spark.createDataFrame([(w,) for w in rows[0][1].split()], "w string")
+    assert np.allclose(got[1], [r[0] for r in words.select(text.entropy(F.col("w"))).collect()], atol=1e-6)
+
+
+def test_all_rows_of_hours_and_sides(spark, tmp_path):
+    times = ["2024-01-01 00:10:00", "2024-01-01 00:20:00", "2024-01-01 03:00:00"]
+    spark.createDataFrame([(i + 1, "view", x) for i, x in enumerate(times)], "event_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, registry.QUERIES["m3_all_hourly_filled"](spark, str(tmp_path)).collect()))
+    assert got == [("2024-01-01 00", 2), ("2024-01-01 01", 0), ("2024-01-01 02", 0), ("2024-01-01 03", 1)]
+    rows = spark.createDataFrame([(1, i, None, None, f"s{i}") for i in (7, 0, 5)], "g int, row_idx long, title string, date_text string, summary string")
+    block = paths.side_text(rows, ["g"], ["row_idx"]).first()["block"]  # 1 to 4 and 6 are gone
+    assert [x.split("\n")[0] for x in block.split("\n\n")] == ["ID: 0", "ID: 5", "ID: 7"]
+
+
 def test_periods_inverted(spark):
     df = spark.createDataFrame([("2024-12-21", "09:00:00", "2024-12-22", None)], "a string, b string, c string, d string")
     cols = [F.to_date("a"), F.col("b"), F.to_date("c"), F.col("d")]
