@@ -452,7 +452,7 @@ def p11(spark, sf):
         *GROUP, "cluster_id", "category", "row_idx", "user_id", "conversation_id", "mine", F.lit(None).cast("string").alias("title"),
         F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"), F.lit(None).cast("string").alias("date_text"),
     )
-    return paths.discover_paths(rows, lambda d: complete(d, "prompt", first_ids_path), paths.saver(spark, _shared_root(spark)), total=3, retries=0)
+    return paths.discover_paths(rows, lambda d: complete(d, "prompt", first_ids_path), paths.saver(spark, _shared_root(spark)))
 
 
 def _geo(spark, sf):

@@ -205,6 +205,45 @@ def test_path_rounds(spark, tmp_path):
     assert none.count() == 0
 
 
+def plain_paths(mine, theirs, category):
+    """Path rounds of one match group in a plain loop: 10 paths, 2 retries, ids of a side by cluster."""
+    out, tries = [], dict.fromkeys(mine, 0)
+    for name, want in (("humanistic", 4), ("research", 4), ("practical", 2)):
+        n, scale = 0, None
+        while n < want and len(out) < 10:
+            size = {c: abs(np.log(len(mine[c]) / len(theirs[c]))) for c in mine if category[c] == name and mine[c] and theirs[c]}
+            if scale is None:
+                scale = (np.mean(list(size.values())), np.std(list(size.values()))) if size else (0, 0)
+            live = [((x - scale[0]) / scale[1] if scale[1] > 1e-12 else 0.0, c) for c, x in size.items() if tries[c] <= 2]
+            if not live:
+                break
+            c = min(live)[1]
+            a, b = mine[c][:3], theirs[c][:3]
+            mine[c], theirs[c] = mine[c][3:], theirs[c][3:]
+            if len(a) > 1 and len(b) > 1:
+                out.append((c, name, len(out), sorted((a[0], b[0])), a[1:], b[1:]))
+                n += 1
+            else:
+                tries[c] += 1
+    return out
+
+
+def test_discovered_paths_against_plain_loop(spark, tmp_path):
+    r = np.random.default_rng(5)
+    users = [(u, label) for label in range(12) for u in (0, 1) for _ in range(int(r.integers(4, 8)))]
+    rows = [(20 * i + u, r.normal(size=4).tolist(), label) for i, (u, label) in enumerate(users)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    category = {c: ("research", "humanistic", "practical", "coding")[c % 4] for c in range(12)}
+    got = registry.QUERIES["p11_discover_paths"](spark, str(tmp_path)).collect()
+    for me in (0, 1):
+        order = sorted((label, i % 20, i) for i, _, label in rows)
+        side = [{c: [n for n, (label, u, _) in enumerate(order) if label == c and (u == me) == mine] for c in range(12)} for mine in (True, False)]
+        want = plain_paths(*side, category)
+        assert len(want) == 10
+        own = sorted((x for x in got if x["current_user_id"] == me), key=lambda x: x["path_seq"])
+        assert [(x["cluster_id"], x["category"], x["path_seq"], x["common"], x["user1"], x["user2"]) for x in own] == want
+
+
 def test_completions(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, p string")
     seq = scoring.complete_sequence(df, [F.col("p"), lambda a: F.concat(a, F.lit("!"))], lambda ps: [p + "x" for p in ps])
