@@ -43,11 +43,21 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
         rows = np.array([[1 if j >> c & 1 == 0 else -1 for j in range(2 ** classes)] for c in range(classes)])
         keep = [j for j in range(1, 2 ** classes) if rows[0, j] == 1]
         return rows[:, keep].astype(float)
+
+    def nearest(code: np.ndarray) -> float:
+        # the least distance of two codewords, in blocks of rows
+        least = np.inf
+        for i in range(0, classes, _BLOCK):
+            d = (length - code[i : i + _BLOCK] @ code.T) / 2
+            d[np.arange(len(d)), i + np.arange(len(d))] += length
+            least = min(least, d.min())
+        return least
+
     rng, length = np.random.default_rng(seed), int(np.ceil(10 * np.log2(classes)))
     best, far = None, -1.0
     for _ in range(50):
         code = rng.choice([-1.0, 1.0], (classes, length))
-        near = ((length - code @ code.T) / 2 + length * np.eye(classes)).min()
+        near = nearest(code)
         if near > far and (np.abs(code.sum(0)) < classes).all():
             best, far = code, near
     return best
@@ -67,8 +77,8 @@ class LanguageModel:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted loss of every codeword: squared hinge of the classifiers' margins."""
         f = np.hstack([x, np.ones((len(x), 1))]) @ self.weights
-        hinge = np.maximum(0, 1 - f[:, None, :] * self.code[None]) ** 2
-        return (hinge * self.bit_weight[None]).sum(2)
+        plus, minus = (self.bit_weight * (self.code == sign) for sign in (1, -1))
+        return np.maximum(0, 1 - f) ** 2 @ plus.T + np.maximum(0, 1 + f) ** 2 @ minus.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score in 0..1 and whether two codewords are about equally near."""
@@ -90,25 +100,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 1500, max_languages: int = 300, ridge: float = 1e-3) -> LanguageModel:
-    """Learn from at most ``per_language`` distinct texts of every language.
+def fit_language_model(docs: DataFrame, per_language: int = 1500, sample_rows: int = 60_000, ridge: float = 1e-3) -> LanguageModel:
+    """Learn all languages, from at most ``per_language`` distinct texts of each.
+
+    With many languages each has ``sample_rows`` / languages texts, one at least.
 
     Rows without text or lang, and held-out rows, are left out.  The sample is taken by a
     hash of the text; its features (2048 numbers a text), not its texts, reach the driver,
     which adds them up in blocks.
     """
     rows = columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((_DIM + 1, 1)), np.ones((0, 1)))
-    every = F.create_map(*[F.lit(x) for lang in languages for x in (lang, max(1, counts[lang] // (2 * per_language)))])
+    per_language = min(per_language, max(1, sample_rows // len(languages)))
+    # thinned by hash to 40 texts at least, so that no language is left without one
+    every = docs.sparkSession.createDataFrame([(lang, max(1, counts[lang] // (2 * max(20, per_language)))) for lang in languages], "lang string, _every long")
     by_hash = Window.partitionBy("lang").orderBy("_h")
     sample = (
         rows.withColumn("_h", F.xxhash64("text"))
-        .where(F.pmod("_h", every[F.col("lang")].cast("long")) == 0)
+        .join(F.broadcast(every), "lang")  # a row a language
+        .where(F.pmod("_h", "_every") == 0)
         .groupBy("lang", "_h")
         .agg(F.min("text").alias("text"))
         .withColumn("_n", F.row_number().over(by_hash))
@@ -128,7 +141,8 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, max_languages:
         for value in chunk:
             x[at] = np.frombuffer(value.as_buffer(), dtype=np.float32)
             at += 1
-    y, h = np.array([languages.index(v) for v in got.column("lang").to_pylist()], dtype=int), got.column("h").to_numpy()
+    number = {lang: i for i, lang in enumerate(languages)}
+    y, h = np.array([number[v] for v in got.column("lang").to_pylist()], dtype=int), got.column("h").to_numpy()
     del got
     # sums are taken in one order, so that equal samples give equal models
     order = np.lexsort((h, y))
@@ -149,8 +163,8 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, max_languages:
     weights = np.linalg.solve(gram, target)
     # a bit counts for a class by the share of the class's own texts on which it is right
     right = np.vstack([np.empty((0, code.shape[1])), *[(block(rows) @ weights) * code[y[rows]] > 0 for rows in blocks]])
-    seen = [c for c in range(len(languages)) if (y == c).any()]
-    bit = np.array([right[y == c].mean(0) if c in seen else np.ones(code.shape[1]) for c in range(len(languages))]) + 1e-6
+    ends = np.searchsorted(y, np.arange(len(languages) + 1))
+    bit = np.array([right[i:j].mean(0) if i < j else np.ones(code.shape[1]) for i, j in zip(ends, ends[1:])]) + 1e-6
     return LanguageModel(languages, code, weights, bit / bit.sum(1, keepdims=True))
 
 

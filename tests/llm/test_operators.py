@@ -195,6 +195,19 @@ def test_language_id(spark, docs, edges, empty):
     assert language_id.keep_known_languages(edges, model).columns == edges.columns
 
 
+def test_language_id_with_many_languages(spark):
+    rows = [(i, prose(i, 30), "rare%03d" % i) for i in range(1100)]
+    rows += [(2000 + i, prose(5000 + i, 30) if i % 2 else "der die das und nicht mit auf ist ein " * 3 + prose(i, 2), "en" if i % 2 else "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(df, sample_rows=500)
+    want = {r["lang"] for r in df.where(~language_id.held_out()).select("lang").distinct().collect()}
+    assert set(model.languages) == want and len(want) > 600
+    x = np.random.default_rng(1).normal(size=(3, language_id._DIM)) / 50
+    f = np.hstack([x, np.ones((3, 1))]) @ model.weights
+    assert np.allclose(model.losses(x), (np.maximum(0, 1 - f[:, None] * model.code[None]) ** 2 * model.bit_weight[None]).sum(2))
+    assert language_id.detect_language(df, model).count() == len(rows)
+
+
 def test_license_scan_against_sql(spark, sf, edges, empty):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
