@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,21 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The folder that the cluster shares: the checkpoint folder, or the warehouse where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/convmatch"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/convmatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more, not even a plan not yet run."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -41,13 +45,23 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """A never-null long and int that name a row up to exact repeats of (doc_id, text)."""
+    """Two never-null longs, ``_id`` and ``_th``, that name a row up to repeats of (doc_id, text).
+
+    ``_id`` is the doc_id, or a hash of the text where it is null; ``_th`` holds 63 bits of
+    another hash of the text and, in its last bit, whether the doc_id is null.
+    """
+    void = F.col(doc_id).isNull()
     return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_id"),
-        F.hash(F.col(text), F.col(doc_id).isNull(), F.col(text).isNull()).alias("_th"),
+        F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("id"), F.col(text))).alias("_id"),
+        (F.shiftleft(F.xxhash64(F.col(text), F.lit("text")), 1) + void.cast("long")).alias("_th"),
     ]
 
 
+def key_doc_id() -> Column:
+    """The doc_id, null or not, of a row key."""
+    return F.when(F.col("_th").bitwiseAND(F.lit(1)) == 0, F.col("_id"))
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, component): the least node reachable over ``edges`` (a, b: long).
 
@@ -72,6 +86,8 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
             .distinct()
         )
         nxt = written(small)
-        if nxt.count() == e.count() and nxt.join(e, ["a", "b"], "left_anti").isEmpty():
+        done = nxt.count() == e.count() and nxt.join(e, ["a", "b"], "left_anti").isEmpty()
+        discard(e)
+        if done:
             return nxt.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
         e = nxt

@@ -4,22 +4,25 @@ A window is a run of ``window`` consecutive words of one document.  Every word t
 a window whose words also start anywhere else is removed.
 
 The corpus is its own reference and grows without a bound, so its automata are not sent to
-every task; windows are routed to the shard that holds all their occurrences instead:
+every task; each window is routed to the shard that holds all its occurrences instead:
 
 1. Every window has an anchor, its ``k``-gram with the least hash (leftmost of equals).
    Equal windows have equal anchors, and consecutive windows mostly share one: about one
-   anchor for each 14 words.  Anchors found once (a partial aggregate) end here.
-2. Around each other anchor the words of its windows are cut out as a segment.  Equal
-   segments of an anchor are counted and meet as one.
-3. A shard is a hash class of anchors.  For each anchor with several segments a suffix
-   automaton of its segments is built, with the number of occurrences of every state.
-   Streaming a segment gives the matching statistics; where the match is ``window`` words or
-   longer, the state that holds the last ``window`` words tells how often they occur.
-4. The repeated windows' spans return to their documents, which drop the covered words.
-
-An anchor with ``hot`` or more occurrences is split: each of its windows is a segment of its
-own, keyed by the window's hash too, so that no group grows with the corpus.  Equal windows
-of a hot anchor are counted by a partial aggregate.
+   anchor for each 14 words.  The words of an anchor's windows are its segment.  Anchors and
+   hashes of segments are written once; anchors found once (a partial aggregate) end here.
+2. Equal segments are counted by hash, and one of each is cut out of its document.
+3. A shard holds all segments of a run of anchors, ``shard_words`` words of them or one
+   anchor's.  It has one suffix automaton, with the number of occurrences of every state.
+   Each of its segments is streamed for its matching statistics; where the match is
+   ``window`` words or longer, the state that holds the last ``window`` words tells how often
+   they occur.
+4. The repeated windows return to the places of their segments, and the documents drop the
+   covered words.
+
+An anchor with more than ``hot`` different segments is split: each window is a segment of
+its own, routed by the window's hash too, so that no shard grows with the corpus.  A segment
+with more than a thousandth of all places is joined with them by broadcast: of such segments
+there are a thousand at most.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, row_key
-from .wordhash import batches_of_texts, sliding_argmin, text_word_hashes, window_hashes
+from .common import columns, key_doc_id, row_key, written
+from .wordhash import batches_of_texts, mix, sliding_argmin, span_hashes, text_word_hashes, window_hashes
 
 
 class SuffixAutomaton:
@@ -116,11 +119,13 @@ class SuffixAutomaton:
                 yield i + 1, count[state]
 
 
+def segment_hash(segment: bytes) -> int:
+    # never 0, which stands for an anchor's own segment
+    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True) or 1
+
+
 def repeated_windows(segments: list[tuple[bytes, int]], window: int) -> list[int]:
     """For each (text, occurrences), the bits of the windows that occur twice or more."""
-    if len(segments) == 1:
-        text, n = segments[0]
-        return [(1 << max(0, len(text.split()) - window + 1)) - 1 if n > 1 else 0]
     automaton = SuffixAutomaton()
     words = [t.split() for t, _ in segments]
     for w, (_, n) in zip(words, segments):
@@ -136,20 +141,30 @@ def repeated_windows(segments: list[tuple[bytes, int]], window: int) -> list[int
     return out
 
 
-def segment_hash(segment: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
+def anchor_length(window: int, k: int) -> int:
+    """``k``, or what lets the windows of one anchor be counted in 56 bits."""
+    if window < 1 or k < 1:
+        raise ValueError("window and k must be positive")
+    return max(min(k, window), window - 55)
+
 
+def anchors_of(h: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Anchors of joined texts, text ``i`` with the word hashes ``h[at[i] : at[i + 1]]``.
 
-def _anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of one text: hash (32 bits), first and last window start."""
-    grams = window_hashes(h, k)
-    at = sliding_argmin(grams, window - k + 1)
-    if len(at) == 0:
-        none = np.empty(0, dtype=np.int32)
-        return none, none, none
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:], len(at)] - 1
-    return (grams[at[first]] >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last
+    Returns text, anchor (32 bits), first and last window start, and hash of the segment.
+    """
+    place = sliding_argmin(window_hashes(h, k), window - k + 1)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    start = np.flatnonzero(text[: len(place)] == text[window - 1 : window - 1 + len(place)])  # windows in one text
+    if len(start) == 0:
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.int32), none, none, none
+    gram, doc = place[start], text[start]
+    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])
+    lo, hi = start[first], start[np.r_[first[1:], len(start)] - 1]
+    code = mix(window_hashes(h, k)[gram[first]]) >> np.uint64(32)
+    doc = doc[first]
+    return doc, code.astype(np.uint32).view(np.int32), lo - at[doc], hi - at[doc], span_hashes(h, lo, hi + window).view(np.int64)
 
 
 def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -159,98 +174,92 @@ def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return word_spans(buf) if len(buf) else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
 
 
-def repeated_spans(base: DataFrame, window: int, k: int, hot: int) -> DataFrame:
+def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot: int, shard_words: int) -> DataFrame:
     """(_id, _th, _spans): first words and bits of the repeated windows, by row key.
 
-    ``base``: _id, _th, _z (compressed text).
+    ``base``: _id, _th, text.  ``texts``: the same rows :func:`zipped`.
     """
+    k = anchor_length(window, k)
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for lo, hi, buf, offsets in batches_of_texts(b.column(2)):
+            for lo, _, buf, offsets in batches_of_texts(b.column(2)):
                 h, at = text_word_hashes(buf, offsets)
-                got, own = [], []
-                for i in range(hi - lo):
-                    a, s, e = _anchors(h[at[i] : at[i + 1]], window, k)
-                    if len(a):
-                        got.append((a, s * 64 + (e - s)))  # window - k + 1 starts at most
-                        own.append(np.full(len(a), lo + i))
-                if got:
-                    o = np.concatenate(own)
-                    a, s = (np.concatenate(x) for x in zip(*got))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[o]), pa.array(ths[o]), pa.array(s.astype(np.int64))], ["_a", "_id", "_th", "_s"])
-
-    anchors = base.select("_id", "_th", "text").mapInArrow(anchor_rows, "_a int, _id long, _th int, _s long")
-    twice = anchors.groupBy("_a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_a", (F.col("_c") >= hot).alias("_hot"))
-    hits = anchors.join(twice, "_a").groupBy("_id", "_th").agg(F.collect_set(F.struct("_a", "_s", "_hot")).alias("_hits"))
-    near = zipped(base).join(hits, ["_id", "_th"])
+                own, a, first, last, sh = anchors_of(h, at, window, k)
+                cols = [a, ids[lo + own], ths[lo + own], first * 64 + (last - first), sh]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_a", "_id", "_th", "_s", "_sh"])
+
+    anchors = written(base.select("_id", "_th", "text").mapInArrow(anchor_rows, "_a int, _id long, _th long, _s long, _sh long"))
+    # the places of a segment come together early where it is a copy
+    kinds = anchors.groupBy("_a", "_sh").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_id", "_th", "_s")).alias("_r"))
+    kinds = written(kinds.join(kinds.groupBy("_a").agg(F.sum("_c").alias("_all"), F.count(F.lit(1)).alias("_kinds")).where("_all > 1"), "_a").drop("_all"))
+    is_hot = F.col("_kinds") > hot
+    wanted = kinds.select("_r._id", "_r._th", F.struct("_a", "_sh", "_c", "_r._s", is_hot.alias("_hot")).alias("x"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        names = ["_a", "_sub", "_sh", "_seg", "_id", "_th", "_at"]
+        names = ["_a", "_sub", "_sh", "_j", "_c", "_seg"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            out: dict[str, list] = {n: [] for n in names}
-
-            def flush() -> pa.RecordBatch:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-                got = pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names)
-                for n in names:
-                    out[n].clear()
-                return got
-
-            for i in range(b.num_rows):
-                row_id, th, text = b.column(0)[i].as_py(), b.column(1)[i].as_py(), unzip(b.column(2)[i].as_py())
+            out: list[tuple] = []
+            for z, hits in zip(b.column(0), b.column(1)):
+                text = unzip(z.as_py())
                 starts, ends = _word_places(text)
-                for hit in b.column(3)[i].as_py():
+                for hit in hits.as_py():
                     first = hit["_s"] >> 6
                     last = first + (hit["_s"] & 63)
-                    cuts = [(s, s) for s in range(first, last + 1)] if hit["_hot"] else [(first, last)]
-                    for s, e in cuts:
+                    for i, (s, e) in enumerate([(s, s) for s in range(first, last + 1)] if hit["_hot"] else [(first, last)]):
                         seg = b" ".join(text[starts[s] : ends[e + window - 1]].split())
-                        sh = segment_hash(seg)
-                        for n, x in zip(names, (hit["_a"], sh if hit["_hot"] else 0, sh, seg, row_id, th, s)):
-                            out[n].append(x)
-                if len(out["_a"]) > 20_000:
-                    yield flush()
-            if out["_a"]:
-                yield flush()
+                        out.append((hit["_a"], segment_hash(seg) if hit["_hot"] else 0, hit["_sh"], i, hit["_c"], seg))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    cut = near.select("_id", "_th", "_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _seg binary, _id long, _th int, _at int")
-    distinct = cut.groupBy("_a", "_sub", "_seg").agg(F.count(F.lit(1)).alias("_c"))
+    def cut(those: DataFrame) -> DataFrame:
+        near = texts.join(those.groupBy("_id", "_th").agg(F.collect_list("x").alias("_hits")), ["_id", "_th"])
+        return near.select("_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _j int, _c long, _seg binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (_a, _sub); a group is complete when the next one starts."""
-        key, group = None, []
-        out: list[tuple] = []
-
-        def close() -> None:
-            for (seg, _), bits in zip(group, repeated_windows(group, window)):
-                if bits:
-                    out.append((key[0], key[1], segment_hash(seg), bits))
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out))
-            out.clear()
+        """Rows sorted by (_a, _sub): a group of rows is never parted between two shards."""
+        key, held, words = None, [], 0
+
+        def close() -> pa.RecordBatch:
+            hit = [(a, sub, sh, bits) for (a, sub, sh, _, _), bits in zip(held, repeated_windows([(h[3], h[4]) for h in held], window)) if bits]
+            cols = list(zip(*hit)) if hit else [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["_a", "_sub", "_sh", "_bits"])
 
         for b in batches:
-            for a, sub, seg, c in zip(*(b.column(j).to_pylist() for j in range(4))):
-                if (a, sub) != key:
-                    if group:
-                        close()
-                    key, group = (a, sub), []
-                    if len(out) > 20_000:
-                        yield flush()
-                group.append((seg, c))
-        if group:
-            close()
-        if out:
-            yield flush()
-
-    found = distinct.repartition("_a", "_sub").sortWithinPartitions("_a", "_sub").mapInArrow(shards, "_a int, _sub long, _sh long, _bits long")
-    places = cut.select("_a", "_sub", "_sh", "_id", "_th", "_at").join(found, ["_a", "_sub", "_sh"])
-    return places.groupBy("_id", "_th").agg(F.collect_set(F.struct("_at", "_bits")).alias("_spans"))
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:2] != key:
+                    key = row[:2]
+                    if words >= shard_words:
+                        yield close()
+                        held, words = [], 0
+                held.append(row)
+                words += row[3].count(b" ") + 1
+        if held:
+            yield close()
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.select("_a", "_sub", "_sh", "_seg", "_c").repartition("_a", "_sub").sortWithinPartitions("_a", "_sub").mapInArrow(shards, "_a int, _sub long, _sh long, _bits long")
+
+    found = judged(cut(wanted.where("not x._hot"))).select("_a", "_sh", "_bits")
+    if not kinds.where(is_hot).isEmpty():
+        # equal windows of different segments are one before they meet
+        single = cut(wanted.where("x._hot"))
+        windows = judged(single.groupBy("_a", "_sub", "_seg").agg(F.sum("_c").alias("_c")).withColumn("_sh", F.lit(0).cast("long")))
+        back = single.select("_a", "_sub", "_sh", "_j").join(windows.select("_a", "_sub").distinct(), ["_a", "_sub"])
+        found = found.unionByName(back.groupBy("_a", "_sh").agg(F.bit_or(F.expr("shiftleft(1L, _j)")).alias("_bits")))
+    found = found.join(kinds.select("_a", "_sh", "_c"), ["_a", "_sh"])
+    found = written(found)
+    often = max(1, anchors.count() // 1000)
+    places = anchors.select("_a", "_sh", "_id", "_th", F.shiftright("_s", 6).cast("int").alias("_at"))
+    few, many = found.where(F.col("_c") <= often).drop("_c"), found.where(F.col("_c") > often).drop("_c")
+    met = places.join(few, ["_a", "_sh"]).unionByName(places.join(F.broadcast(many), ["_a", "_sh"]))
+    return met.groupBy("_id", "_th").agg(F.collect_set(F.struct("_at", "_bits")).alias("_spans"))
 
 
 def zipped(base: DataFrame) -> DataFrame:
@@ -262,7 +271,9 @@ def zipped(base: DataFrame) -> DataFrame:
             z = [pack((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["_id", "_th", "_z"])
 
-    return base.select("_id", "_th", "text").mapInArrow(run, "_id long, _th int, _z binary")
+    rows = base.select("_id", "_th", "text").mapInArrow(run, "_id long, _th long, _z binary")
+    # said here, so that inner and outer joins read one and the same shuffle
+    return rows.where("_id is not null and _th is not null")
 
 
 def covered_words(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
@@ -279,15 +290,18 @@ def covered_words(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 4000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 20_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs`` (and the kept text).
 
     The kept text is the kept words joined by one space.  Null and empty texts have no word.
     Exact copies of a document of ``window`` words or more remove each other whole, and so do
     repeated rows; shorter documents have no window and stay.  An empty table gives no rows.
+    Any ``window`` of one word or more will do; very long texts are hashed in pieces, and
+    columns other than doc_id and text are not read.
     """
-    base = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
-    spans = repeated_spans(base, window, k, hot)
+    base = columns(docs, "doc_id", "text").select(*row_key(), "text")
+    texts = zipped(base)
+    spans = repeated_spans(base, texts, window, k, hot, shard_words)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -309,14 +323,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 400
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = zipped(base).join(spans, ["_id", "_th"], "left")
-    # a null doc_id travels as the least long
-    rows = rows.select(F.when(F.col("_id") != -(2**63), F.col("_id")).alias("doc_id"), "_z", "_spans")
+    rows = texts.join(spans, ["_id", "_th"], "left").select(key_doc_id().alias("doc_id"), "_z", "_spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return rows.mapInArrow(finish, schema)
 
 
-def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 4000) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 20_000) -> DataFrame:
     """``docs``, all columns, with repeated passages cut out of the texts.
 
     A text that loses words becomes its kept words joined by one space (n_chars, if there, is
@@ -326,7 +338,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 4000)
     base = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), "doc_id", "text").select(
         "_row", *row_key(), "text"
     )
-    spans = repeated_spans(base.drop("_row"), window, k, hot)
+    spans = repeated_spans(base.drop("_row"), zipped(base), window, k, hot, shard_words)
     rows = base.drop("text").join(spans, ["_id", "_th"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,6 +79,21 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def span_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """uint64 hash of the words ``first`` to ``end`` (exclusive) of each span; one pass for all."""
+    out, lo = np.empty(len(first), dtype=np.uint64), 0
+    while lo < len(first):  # spans start in order; the powers are kept for a million words
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + _CHUNK // 2)))
+        at, to = int(first[lo]), int(end[lo:hi].max())
+        up, down = _tables(to - at + 1)
+        total = np.zeros(to - at + 1, dtype=np.uint64)
+        np.cumsum(words[at:to] * up[: to - at], out=total[1:])
+        s, e = first[lo:hi] - at, end[lo:hi] - at
+        out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum of every window of ``width`` values."""
     n = len(values) - width + 1
