@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 import re
-import zlib
 from collections import Counter
 
 import pandas as pd
@@ -74,10 +74,22 @@ def redaction_counts(c: Column) -> list[Column]:
     return [mail.cast("long").alias("n_email"), phone.cast("long").alias("n_phone")]
 
 
+def redactions(c: Column) -> Column:
+    """What is redacted in a text: array of struct(kind, content), e-mails, phones, then secrets."""
+    clean = redact_phone(redact_email(c))
+    words = F.filter(F.split(clean, r"[ \t\n\x0b\f\r]+"), is_secret)
+    found = (("email", F.regexp_extract_all(c, F.lit(f"({EMAIL_RULE})"), 1)), ("phone", F.regexp_extract_all(redact_email(c), F.lit(f"({PHONE_RULE})"), 1)), ("secret", words))
+
+    def named(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("content"))
+
+    return F.concat(*[F.transform(x, named(kind)) for kind, x in found])
+
+
 @F.pandas_udf(DoubleType())
 def compression_ratio(texts: pd.Series) -> pd.Series:
-    """Compressed bytes over bytes of the text; null of null and empty texts."""
-    return texts.map(lambda t: len(zlib.compress(t.encode())) / len(t.encode()) if t else None).astype(float)
+    """Bytes of the text in gzip form over its own bytes; null of null and empty texts."""
+    return texts.map(lambda t: len(gzip.compress(t.encode())) / len(t.encode()) if t else None).astype(float)
 
 
 def conversation_id(url: Column, pattern: str = r"chatgpt\.com/c/([a-zA-Z0-9_-]+)") -> Column:

@@ -70,3 +70,8 @@ def summary_records(convs: DataFrame, qs: DataFrame) -> DataFrame:
     date = F.when(F.col("start_date").isNull(), "Unknown").otherwise(F.concat(F.col("start_date").cast("string"), F.lit(" "), F.substring("start_time", 1, 5)))
     c = convs.where("summary is not null").withColumn("date_text", F.coalesce(date, F.lit("Unknown"))).withColumn("category", F.coalesce("category", F.lit("practical")))
     return c.join(qs, ["user_id", "conversation_id"], "left").withColumn("questions", F.coalesce("questions", F.array().cast("array<string>")))
+
+
+def row_limit(df: DataFrame, order: list[str], rows: int = 50) -> DataFrame:
+    """The first ``rows`` rows, for sub-sampled runs."""
+    return df.orderBy(*order).limit(rows)

@@ -151,3 +151,26 @@ def representatives(df: DataFrame, limit: int = 300) -> DataFrame:
     pick = Window.partitionBy("user_id", "label").orderBy(F.desc(F.round("_s", 9)), "conversation_id")
     best = near.withColumn("_n", F.row_number().over(pick)).where("_n = 1")
     return counted.where(F.col("_c") <= limit).select(*df.columns).unionByName(best.select(*df.columns))
+
+
+def cluster_heads(members: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Values of the first member of each cluster, such as its category and start."""
+    return members.groupBy(*by).agg(F.min(F.struct(*order, *[c for c in values if c not in order])).alias("_f")).select(*by, *[F.col("_f").getField(c).alias(c) for c in values])
+
+
+def membership(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Cluster members of both users with their vectors joined back, sorted by cluster."""
+    rows = members.select("current_user_id", "match_group_id", "cluster_id", "user_id", "conversation_id")
+    return rows.join(vectors.select("user_id", "conversation_id", F.col("v").alias("embedding")), ["user_id", "conversation_id"], "left").orderBy("current_user_id", "cluster_id", "user_id", "conversation_id")
+
+
+def message_clusters(messages: DataFrame, by: list[str], key: str, ts: str, text: str, least: int = 5) -> DataFrame:
+    """Density clusters of messages on (time, compression ratio), each scaled to unit deviation
+    within its series; ``by`` must bound a series, as a day of one conversation does."""
+    from ..functions.text import compression_ratio
+
+    w = Window.partitionBy(*by)
+    d = messages.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).withColumn("_r", F.coalesce(compression_ratio(F.col(text)), F.lit(0.0)))
+    unit = lambda c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0))
+    d = d.withColumn("_v", F.array(unit("_t"), unit("_r")))
+    return density_clusters(d, by, key, "_v", least)

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.text import json_object
 from .balance import apply_scaler, fit_scaler, imbalance
 
-# fixed values
+# fixed values: ratios, limits, the keys of an answer and the default title
 CATEGORY_RATIOS = {"research": 0.4, "humanistic": 0.4, "practical": 0.2, "coding": 0.0}
 MAX_PATHS, MAX_CALLS = 10, 200
+DEFAULT_TITLE = "Serendipitous Connection"
 
 ANSWER = (
     "path_title string, common_indices array<bigint>, user1_unique_indices array<bigint>, user2_unique_indices array<bigint>, "
     "common_background string, is_sensitive boolean"
 )
 PATH_SCHEMA = (
-    "path_id string, current_user_id bigint, match_group_id int, cluster_id bigint, category string, path_seq bigint, title string, "
+    "path_id string, current_user_id bigint, other_user_id bigint, match_group_id int, cluster_id bigint, category string, path_seq bigint, title string, "
     "common array<bigint>, user1 array<bigint>, user2 array<bigint>, len_user1 int, len_user2 int, background string, is_sensitive boolean"
 )
 
@@ -33,7 +34,7 @@ def parse_answer(answer: Column) -> Column:
     u1 = F.array_except(lists(a["user1_unique_indices"]), common)
     u2 = F.array_except(F.array_except(lists(a["user2_unique_indices"]), common), u1)
     return F.struct(
-        F.coalesce(a["path_title"], F.lit("Serendipitous Connection")).alias("title"), common.alias("common"), u1.alias("user1"), u2.alias("user2"),
+        F.coalesce(a["path_title"], F.lit(DEFAULT_TITLE)).alias("title"), common.alias("common"), u1.alias("user1"), u2.alias("user2"),
         a["common_background"].alias("background"), F.coalesce(a["is_sensitive"], F.lit(False)).alias("is_sensitive"),
         ((F.size(common) > 0) & (F.size(u1) > 0) & (F.size(u2) > 0)).alias("ok"),
     )
@@ -53,18 +54,31 @@ def one_shot_quota(clusters: DataFrame, ratios: DataFrame, by: list[str], score:
 
 
 def side_text(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Text block of each side: ID, title, date and summary of its conversations."""
+    """Text block of each side: ID, title, date and summary of its conversations, and their
+    questions where ``rows`` has a column of them."""
     line = F.concat(F.lit("ID: "), F.col("row_idx").cast("string"), F.lit("\nTitle: "), F.coalesce("title", F.lit("No title")), F.lit("\nDate: "), F.coalesce("date_text", F.lit("Unknown")), F.lit("\nSummary: "), F.coalesce("summary", F.lit("No summary")))
+    if "questions" in rows.columns:
+        asked = F.filter("questions", lambda q: F.length(q) > 0)
+        line = F.concat(line, F.when(F.size(asked) > 0, F.concat(F.lit("\nQuestions Asked:\n  - "), F.array_join(asked, "\n  - "))).otherwise(""))
     items = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))
     return rows.groupBy(*by).agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n\n").alias("block"))
 
 
+PATH_ASK = (
+    "Find what connects the two users below and name the conversations by ID.\nAnswer with a JSON object with the keys path_title, common_indices, "
+    "user1_unique_indices, user2_unique_indices, common_background and is_sensitive.\n\nUSER 1\n"
+)
+
+
 def path_prompt(block1: Column, block2: Column) -> Column:
     """Prompt of both sides' blocks; null if either is null."""
-    return F.concat(
-        F.lit("Find what connects the two users below and name the conversations by ID.\nAnswer with a JSON object with the keys path_title, common_indices, "),
-        F.lit("user1_unique_indices, user2_unique_indices, common_background and is_sensitive.\n\nUSER 1\n"), block1, F.lit("\n\nUSER 2\n"), block2,
-    )
+    return F.concat(F.lit(PATH_ASK), block1, F.lit("\n\nUSER 2\n"), block2)
+
+
+def with_questions(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Add the questions of each conversation; an empty list where there are none."""
+    keys = ["user_id", "conversation_id"]
+    return rows.join(questions.select(*keys, "questions"), keys, "left").withColumn("questions", F.coalesce("questions", F.array().cast("array<string>")))
 
 
 def drop_repeated_ids(paths: DataFrame, by: list[str]) -> DataFrame:
@@ -123,6 +137,7 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
     asked = save(rows.select(*group, "cluster_id").distinct().withColumn("tries", F.lit(0)))
     calls = save(rows.select("current_user_id").distinct().withColumn("calls", F.lit(0)))
     counts = save(rows.select(*group).distinct().withColumn("total", F.lit(0)))
+    other = rows.where("not mine").groupBy(*group, "cluster_id").agg(F.min("user_id").alias("other_user_id"))
     for category, ratio in sorted((ratios or CATEGORY_RATIOS).items(), key=lambda x: (-x[1], x[0])):
         if ratio <= 0:
             continue
@@ -149,10 +164,10 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
             named = got.select(*group, F.explode(F.concat("common", "user1", "user2")).alias("row_idx")).distinct()
             used = save(named if used is None else used.unionByName(named).distinct())
             pool = save(rows.join(used, [*group, "row_idx"], "left_anti"))
-            accepted = got.where("ok").join(counts, group).withColumn("path_seq", F.col("total").cast("long"))
+            accepted = got.where("ok").join(other, [*group, "cluster_id"]).join(counts, group).withColumn("path_seq", F.col("total").cast("long"))
             key = F.sha2(F.concat_ws("|", "current_user_id", "match_group_id", "cluster_id", "path_seq"), 256)
             new = accepted.select(
-                key.alias("path_id"), "current_user_id", "match_group_id", F.col("cluster_id").cast("long"), F.lit(category).alias("category"), "path_seq", "title",
+                key.alias("path_id"), "current_user_id", "other_user_id", "match_group_id", F.col("cluster_id").cast("long"), F.lit(category).alias("category"), "path_seq", "title",
                 "common", "user1", "user2", (F.size("user1") + F.size("common")).alias("len_user1"), (F.size("user2") + F.size("common")).alias("len_user2"), "background", "is_sensitive",
             )
             paths = save(new if paths is None else paths.unionByName(new))

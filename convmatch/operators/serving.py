@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,18 +43,27 @@ def pair_key(a: str, b: str) -> Column:
     return F.array_sort(F.array(a, b))
 
 
-def queue_finish(users: DataFrame, now: Column, parallel: int = 8, serial: int = 2, order: tuple[str, ...] = ("created_at", "user_id")) -> DataFrame:
+def queue_finish(users: DataFrame, now: Column, parallel: int = 8, serial: int = 2, order: tuple[str, ...] = ("created_at", "user_id"), blocks: int = 64) -> DataFrame:
     """Position and expected minutes of users in line.
 
-    end_i = max(end_{i-1}, remaining_i) + serial, in closed form a running maximum.  The
-    running window is over the one line of waiting users.
+    end_i = max(end_{i-1}, remaining_i) + serial, in closed form a running maximum.  The line
+    is cut into ranges; each range is numbered and scanned for itself, and only its count and
+    its maximum meet those of the ranges before, so no task holds the whole line.
     """
-    w = Window.orderBy(*order)
-    q = users.withColumn("position", F.row_number().over(w))
+    first = F.col(order[0]).cast("timestamp")
+    bounds = users.agg(F.percentile_approx(F.unix_micros(first), [i / blocks for i in range(1, blocks)], 10_000).alias("_b"))
+    # one row; equal times fall into one range
+    q = users.join(F.broadcast(bounds)).withColumn("_block", F.size(F.filter("_b", lambda x: x < F.unix_micros(first)))).drop("_b")
+    w = Window.partitionBy("_block").orderBy(*order)
     waited = (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 60
-    q = q.withColumn("_r", F.greatest(F.lit(0.0), parallel - waited) - serial * (F.col("position") - 1))
-    up = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return q.withColumn("finish", serial * F.col("position") + F.max("_r").over(up)).drop("_r")
+    q = q.withColumn("_n", F.row_number().over(w)).withColumn("_r", F.greatest(F.lit(0.0), parallel - waited) - serial * (F.col("_n") - 1))
+    q = q.withColumn("_r", F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = q.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"), F.max("_r").alias("_m")).withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    ends = ends.withColumn("_p", F.max(F.col("_m") - serial * F.col("_o")).over(before)).select("_block", "_o", "_p")
+    q = q.join(F.broadcast(ends), "_block").withColumn("position", F.col("_n") + F.col("_o"))
+    top = F.greatest(F.col("_r") - serial * F.col("_o"), F.col("_p"))
+    return q.withColumn("finish", serial * F.col("position") + top).drop("_block", "_n", "_r", "_o", "_p")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -62,9 +71,87 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 
 def swap_tables(staged: dict[str, DataFrame], root: str, run: str) -> dict[str, str]:
-    """Write every table to ``root/run`` first; the paths are published only if all succeeded."""
+    """Write every table to ``root/run``; only when all are there does ``root/current`` name the
+    run, in one rename, so that readers of :func:`current_table` see all new tables or none."""
     paths = {}
     for name, df in staged.items():
         paths[name] = f"{root}/{run}/{name}"
         df.write.mode("overwrite").parquet(paths[name])
+    spark = next(iter(staged.values())).sparkSession
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").text(f"{root}/{run}/_name")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here, new = hadoop.Path(f"{root}/current"), hadoop.Path(f"{root}/{run}/_name")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(here, True)
+    fs.rename(new, here)
     return paths
+
+
+def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the run that was published last."""
+    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/current').first()[0]}/{name}")
+
+
+def valid_paths(paths: DataFrame, lists: tuple[str, ...] = ("common", "user1", "user2"), users: tuple[str, ...] = ("user1_id", "user2_id")) -> DataFrame:
+    """Add ``valid``: no id list is null or empty and both users are there."""
+    ok = F.lit(True)
+    for c in lists:
+        ok = ok & F.coalesce(F.size(c) > 0, F.lit(False))
+    for c in users:
+        ok = ok & F.col(c).isNotNull()
+    return paths.withColumn("valid", ok)
+
+
+def upsert_feedback(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Feedback (user_id, path_id, score) merged by user and path; scores other than -1, 0 and
+    1 are left out."""
+    return upsert(target, source.where(F.col("score").isin(-1, 0, 1)), ["user_id", "path_id"])
+
+
+def unviewed_matches(pivot: DataFrame, matches: DataFrame) -> DataFrame:
+    """user_id and the number of matches that were not viewed; ``pivot``: user_id, match_id."""
+    new = matches.where("not viewed").select("match_id")
+    return pivot.distinct().join(new, "match_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def matches_of_users(pivot: DataFrame, matches: DataFrame) -> DataFrame:
+    """Each user's matches with their place by score."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "match_id")
+    d = pivot.distinct().join(matches.select("match_id", "score"), "match_id")
+    return d.withColumn("place", F.row_number().over(w).cast("long")).select("user_id", "match_id", "score", "place")
+
+
+def nested_matches(matches: DataFrame, pivot: DataFrame, paths: DataFrame) -> DataFrame:
+    """match_id, its users in order, and its paths by balance as structs (balance, path_no)."""
+    p = paths.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("balance", "path_no"))).alias("paths"))
+    u = pivot.distinct().groupBy("match_id").agg(F.sort_array(F.collect_list("user_id")).alias("users"))
+    return matches.select("match_id").join(u, "match_id", "left").join(p, "match_id", "left")
+
+
+def visible_paths(paths: DataFrame, pivot: DataFrame, matches: DataFrame, users: DataFrame) -> DataFrame:
+    """Paths that are not sensitive, or whose match's other users all accept sensitive ones."""
+    u = users.select(F.col("id").alias("user_id"), "sensitive_matching")
+    o = pivot.distinct().join(matches.select("match_id", "owner"), "match_id").where("user_id <> owner").join(u, "user_id", "left")
+    o = o.groupBy("match_id").agg(F.bool_and(F.coalesce("sensitive_matching", F.lit(False))).alias("_ok"))
+    return paths.join(o, "match_id", "left").where(~F.col("sensitive") | F.coalesce("_ok", F.lit(True))).drop("_ok")
+
+
+def mark_viewed(matches: DataFrame, seen: DataFrame) -> DataFrame:
+    """``viewed`` set for the match_ids in ``seen``."""
+    hit = seen.select("match_id").distinct().withColumn("_hit", F.lit(True))
+    return matches.join(hit, "match_id", "left").withColumn("viewed", F.coalesce("_hit", "viewed")).drop("_hit")
+
+
+def sorted_matches(matches: DataFrame) -> DataFrame:
+    return matches.orderBy(F.desc("score"), "match_id")
+
+
+def match_of_pair(pivot: DataFrame) -> DataFrame:
+    """The two users of every match, as one aggregate instead of a self-join."""
+    return pivot.groupBy("match_id").agg(F.min("user_id").alias("u1"), F.max("user_id").alias("u2")).where("u1 < u2")
+
+
+def user_paths(paths: DataFrame, user1: str, user2: str) -> DataFrame:
+    """Each path as two rows, one for either user: user_id and side (1, 2) added."""
+    two = F.array(*[F.struct(F.col(c).alias("user_id"), F.lit(i).cast("long").alias("side")) for i, c in enumerate((user1, user2), 1)])
+    return paths.withColumn("_x", F.explode(two)).select(*paths.columns, "_x.*")

@@ -151,12 +151,15 @@ def _members(spark, sf):
     return cluster.number_clusters(cluster.match_members(_top(spark, sf), user_vec(spark, sf)))
 
 
+def category():
+    r = F.col("label") % 4
+    return F.when(r == 0, "research").when(r == 1, "humanistic").when(r == 2, "practical").otherwise("coding")
+
+
 def _sides(spark, sf):
     m = _members(spark, sf)
     mine = F.col("user_id") == F.col("current_user_id")
-    r = F.col("label") % 4
-    category = F.when(r == 0, "research").when(r == 1, "humanistic").when(r == 2, "practical").otherwise("coding")
-    return m.groupBy("current_user_id", "match_group_id", "cluster_id").agg(F.min(category).alias("category"), F.count_if(mine).alias("n1"), F.count_if(~mine).alias("n2"))
+    return m.groupBy("current_user_id", "match_group_id", "cluster_id").agg(F.min(category()).alias("category"), F.count_if(mine).alias("n1"), F.count_if(~mine).alias("n2"))
 
 
 def _balanced(spark, sf):
@@ -435,24 +438,16 @@ def p14(spark, sf):
     return paths.to_conversations(p, ids, ["g"])[0].select("path_seq", _joined("common"), _joined("user1"), _joined("user2"))
 
 
-def _shared_root(spark):
-    """The folder that the cluster shares; a temporary one only where none is set."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 @query("p11_discover_paths")
 def p11(spark, sf):
     from ..operators.scoring import complete, first_ids_path
 
-    r = F.col("label") % 4
-    m = _members(spark, sf).withColumn("category", F.when(r == 0, "research").when(r == 1, "humanistic").when(r == 2, "practical").otherwise("coding"))
+    m = _members(spark, sf).withColumn("category", category())
     rows = paths.rows_of_sides(m).select(
         *GROUP, "cluster_id", "category", "row_idx", "user_id", "conversation_id", "mine", F.lit(None).cast("string").alias("title"),
         F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"), F.lit(None).cast("string").alias("date_text"),
     )
-    return paths.discover_paths(rows, lambda d: complete(d, "prompt", first_ids_path), paths.saver(spark, _shared_root(spark)))
+    return paths.discover_paths(rows, lambda d: complete(d, "prompt", first_ids_path), paths.saver(spark, views.shared_root(spark)))
 
 
 def _geo(spark, sf):
@@ -480,9 +475,11 @@ def h3(spark, sf):
 @query("h4_known_edges", "SELECT s_suppkey AS src, n_nationkey AS dst, s_acctbal AS src_x, n_regionkey::DOUBLE AS dst_x FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def h4(spark, sf):
     s, n = t(spark, sf, "supplier"), t(spark, sf, "nation")
-    e = s.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"))
-    a, b = s.select(F.col("s_suppkey").alias("src"), F.col("s_acctbal").alias("src_x")), n.select(F.col("n_nationkey").alias("dst"), F.col("n_regionkey").cast("double").alias("dst_x"))
-    return e.join(a, "src").join(b, "dst").select("src", "dst", "src_x", "dst_x")
+    # one table of nodes: nations have negative ids
+    nation = lambda c: (-1 - F.col(c)).cast("long")
+    nodes = s.select(F.col("s_suppkey").cast("long").alias("node"), F.col("s_acctbal").cast("double").alias("x")).unionByName(n.select(nation("n_nationkey").alias("node"), F.col("n_regionkey").cast("double").alias("x")))
+    e = graph.known_edges(s.select(F.col("s_suppkey").cast("long").alias("src"), nation("s_nationkey").alias("dst")), nodes, "node", ["x"])
+    return e.select("src", (-1 - F.col("dst")).alias("dst"), "src_x", "dst_x")
 
 
 @query("h5_shortest_path", f"""WITH {GEO}, p AS (SELECT 's1' AS s, dst AS n FROM edges WHERE src = 's1')
@@ -490,7 +487,7 @@ def h4(spark, sf):
 def h5(spark, sf):
     e = _geo(spark, sf)
     goal = e.where("src = 's1'").select(F.col("dst").alias("src")).join(e, "src").first()["dst"]
-    return graph.shortest_path(e, "s1", goal, paths.saver(spark, _shared_root(spark)))
+    return graph.shortest_path(e, "s1", goal, paths.saver(spark, views.shared_root(spark)))
 
 
 def _merge(spark, sf):
@@ -528,8 +525,7 @@ def d5(spark, sf):
 
 @query("d6_match_of_pair", f"WITH {MATCHES} SELECT a.match_id, a.user_id AS u1, b.user_id AS u2 FROM pivot_rows a JOIN pivot_rows b ON a.match_id = b.match_id AND a.user_id < b.user_id")
 def d6(spark, sf):
-    p = views.pivot(spark, sf)
-    return p.groupBy("match_id").agg(F.min("user_id").alias("u1"), F.max("user_id").alias("u2")).where("u1 < u2")
+    return serving.match_of_pair(views.pivot(spark, sf))
 
 
 @query("d7_upsert_match", f"WITH {SIMS} SELECT least(user_id, other_id) AS u1, greatest(user_id, other_id) AS u2, round(max(similarity), 6) AS score FROM top GROUP BY ALL")
@@ -545,8 +541,7 @@ def d8(spark, sf):
 
 @query("d10_user_paths", f"WITH {PATHS} SELECT match_id, path_no, unnest([part, supp]) AS user_id, unnest([1, 2])::BIGINT AS side FROM paths")
 def d10(spark, sf):
-    two = F.array(F.struct(F.col("part").alias("user_id"), F.lit(1).cast("long").alias("side")), F.struct(F.col("supp").alias("user_id"), F.lit(2).cast("long").alias("side")))
-    return views.paths(spark, sf).select("match_id", "path_no", F.explode(two).alias("x")).select("match_id", "path_no", "x.*")
+    return serving.user_paths(views.paths(spark, sf), "part", "supp").select("match_id", "path_no", "user_id", "side")
 
 
 @query("d11_upsert_two_keys", f"""WITH {PATHS} SELECT match_id, path_no, CASE WHEN path_no % 2 = 0 THEN 'new' ELSE category END AS category FROM paths WHERE match_id % 3 <> 0 OR path_no % 2 = 0""")
@@ -566,35 +561,27 @@ def d12(spark, sf):
 
 @query("d14_unviewed", f"WITH {MATCHES} SELECT user_id, count(DISTINCT match_id) AS n FROM pivot_rows JOIN matches USING (match_id) WHERE NOT viewed GROUP BY 1")
 def d14(spark, sf):
-    m = views.matches(spark, sf).where("not viewed").select("match_id")
-    return views.pivot(spark, sf).distinct().join(m, "match_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return serving.unviewed_matches(views.pivot(spark, sf), views.matches(spark, sf))
 
 
 @query("d15_matches_of_users", f"WITH {MATCHES} SELECT p.user_id, m.match_id, m.score, row_number() OVER (PARTITION BY p.user_id ORDER BY m.score DESC, m.match_id) AS place FROM (SELECT DISTINCT * FROM pivot_rows) p JOIN matches m USING (match_id)")
 def d15(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "match_id")
-    d = views.pivot(spark, sf).distinct().join(views.matches(spark, sf).select("match_id", "score"), "match_id")
-    return d.withColumn("place", F.row_number().over(w).cast("long")).select("user_id", "match_id", "score", "place")
+    return serving.matches_of_users(views.pivot(spark, sf), views.matches(spark, sf))
 
 
 @query("d16_nested_matches", f"""WITH {MATCHES}, {PATHS}, p AS (SELECT match_id, count(*) AS n_paths, string_agg(path_no::VARCHAR, ',' ORDER BY balance, path_no) AS paths FROM paths GROUP BY 1),
   u AS (SELECT match_id, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS users FROM (SELECT DISTINCT * FROM pivot_rows) GROUP BY 1)
   SELECT match_id, users, coalesce(n_paths, 0) AS n_paths, coalesce(paths, '') AS paths FROM matches LEFT JOIN u USING (match_id) LEFT JOIN p USING (match_id)""")
 def d16(spark, sf):
-    p = views.paths(spark, sf).groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("balance", "path_no"))).alias("p"))
-    u = views.pivot(spark, sf).distinct().groupBy("match_id").agg(F.sort_array(F.collect_list("user_id")).alias("u"))
-    d = views.matches(spark, sf).select("match_id").join(u, "match_id", "left").join(p, "match_id", "left")
+    d = serving.nested_matches(views.matches(spark, sf), views.pivot(spark, sf), views.paths(spark, sf))
     text = lambda c, f: F.array_join(F.transform(c, f), ",")
-    return d.select("match_id", text("u", lambda x: x.cast("string")).alias("users"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_paths"), F.coalesce(text("p", lambda x: x["path_no"].cast("string")), F.lit("")).alias("paths"))
+    return d.select("match_id", text("users", lambda x: x.cast("string")).alias("users"), F.coalesce(F.size("paths"), F.lit(0)).cast("long").alias("n_paths"), F.coalesce(text("paths", lambda x: x["path_no"].cast("string")), F.lit("")).alias("paths"))
 
 
 @query("d17_sensitive_filter", f"""WITH {MATCHES}, {PATHS}, {USERS}, o AS (SELECT p.match_id, bool_and(coalesce(u.sensitive_matching, false)) AS ok FROM (SELECT DISTINCT * FROM pivot_rows) p JOIN matches m USING (match_id)
   LEFT JOIN users u ON u.id = p.user_id WHERE p.user_id <> m.owner GROUP BY 1) SELECT match_id, path_no FROM paths LEFT JOIN o USING (match_id) WHERE NOT sensitive OR coalesce(ok, true)""")
 def d17(spark, sf):
-    u = views.users(spark, sf).select(F.col("id").alias("user_id"), "sensitive_matching")
-    o = views.pivot(spark, sf).distinct().join(views.matches(spark, sf).select("match_id", "owner"), "match_id").where("user_id <> owner").join(u, "user_id", "left")
-    o = o.groupBy("match_id").agg(F.bool_and(F.coalesce("sensitive_matching", F.lit(False))).alias("ok"))
-    return views.paths(spark, sf).join(o, "match_id", "left").where(~F.col("sensitive") | F.coalesce("ok", F.lit(True))).select("match_id", "path_no")
+    return serving.visible_paths(views.paths(spark, sf), views.pivot(spark, sf), views.matches(spark, sf), views.users(spark, sf)).select("match_id", "path_no")
 
 
 QUEUE = f"{USERS}, line AS (SELECT id AS user_id, created_at FROM users WHERE created_at IS NOT NULL AND id % 3 <> 0)"
@@ -624,13 +611,12 @@ def d20(spark, sf):
 @query("d21_mark_viewed", f"WITH {MATCHES} SELECT match_id, viewed OR match_id % 7 = 0 AS viewed FROM matches")
 def d21(spark, sf):
     m = views.matches(spark, sf)
-    seen = m.where("match_id % 7 = 0").select("match_id", F.lit(True).alias("hit"))
-    return m.join(seen, "match_id", "left").select("match_id", F.when(F.col("hit"), True).otherwise(F.col("viewed")).alias("viewed"))
+    return serving.mark_viewed(m, m.where("match_id % 7 = 0")).select("match_id", "viewed")
 
 
 @query("d22_sorted_matches", f"WITH {MATCHES} SELECT match_id, score FROM matches ORDER BY score DESC, match_id")
 def d22(spark, sf):
-    return views.matches(spark, sf).select("match_id", "score").orderBy(F.desc("score"), "match_id")
+    return serving.sorted_matches(views.matches(spark, sf).select("match_id", "score"))
 
 
 @query("d23_pair_fetch", f"WITH {USER_VEC} SELECT a.conversation_id AS c1, b.conversation_id AS c2, 'Compare ' || a.conversation_id || ' and ' || b.conversation_id AS prompt FROM user_vec a JOIN user_vec b ON b.conversation_id = a.conversation_id + 21 WHERE a.user_id % 2 = 0")

@@ -53,7 +53,7 @@ def s5(spark, sf):
 
 @query("s6_already_loaded", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def s6(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return exports.already_loaded(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels"), "doc_id")
 
 
 @query("s7_partition_diff", """SELECT c_custkey AS user_id, 'add' AS action FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)
@@ -66,12 +66,12 @@ def s7(spark, sf):
 def s8(spark, sf):
     gone = t(spark, sf, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("o_custkey"))
     known = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, sf, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_semi").join(gone, "o_custkey", "left_anti")
+    return exports.of_known_users(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, gone, "o_custkey")
 
 
 @query("s9_active_partitions", "SELECT DISTINCT o_custkey AS user_id FROM orders INTERSECT SELECT c_custkey FROM customer")
 def s9(spark, sf):
-    return t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")).intersect(t(spark, sf, "customer").select("c_custkey"))
+    return exports.active_partitions(t(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")), t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")))
 
 
 @query("x4_list_pairing", f"WITH {EXCHANGES} SELECT user_id, conversation_id, turn, question, answer FROM exchanges")
@@ -105,7 +105,7 @@ def x8(spark, sf):
 
 @query("x9_url_ids", "SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2), '') AS id FROM pages")
 def x9(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.nullif(F.regexp_extract("url", "/([a-z]{2})/([0-9]+)", 2), F.lit("")).alias("id"))
+    return t(spark, sf, "pages").select("page_id", X.conversation_id(F.col("url"), "/[a-z]{2}/([0-9]+)").alias("id"))
 
 
 @query("r1_redact_email", rf"SELECT doc_id, regexp_replace(text, '\b{X.EMAIL}\b', '[redacted email]', 'g') AS text FROM documents")

@@ -16,12 +16,19 @@ EXPORT_SCHEMA = (
 )
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Conversations of all users' exports ``.../<user>/<provider>/latest.json``, any shape."""
-    raw = spark.read.schema(EXPORT_SCHEMA).option("multiLine", True).json(path)
-    file = F.col("_metadata.file_path")
-    raw = raw.select("*", F.regexp_extract(file, r"([^/]+)/([^/]+)/[^/]+$", 1).alias("user_id"), F.regexp_extract(file, r"([^/]+)/([^/]+)/[^/]+$", 2).alias("provider"))
-    return raw.withColumn("shape", shape_of())
+def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Conversations of all users' exports ``.../<user>/<provider>/latest.json``, any shape.
+
+    Folders may be named ``key=value``.  With ``lines`` a file holds one conversation a line,
+    so that Spark can split it: the form for archives in bulk.
+    """
+    return with_owner(spark.read.schema(EXPORT_SCHEMA).option("multiLine", not lines).json(path))
+
+
+def with_owner(raw: DataFrame) -> DataFrame:
+    """Add user_id, provider (from the file's path) and shape."""
+    owner = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/(?:[^/=]+=)?([^/=]+)/[^/]+$", i)
+    return raw.select(*[c for c in raw.columns if c not in ("user", "user_id", "provider")], owner(1).alias("user_id"), owner(2).alias("provider")).withColumn("shape", shape_of())
 
 
 def shape_of() -> Column:
@@ -77,6 +84,26 @@ def exchanges(convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, empty.unionByName(odd)
 
 
+def ordered(rows: DataFrame, by: tuple[str, ...] = ("conversation_id", "date", "time")) -> DataFrame:
+    """Exchanges in the order of a sink, with their position in the conversation (from 1)."""
+    w = Window.partitionBy(by[0]).orderBy(*by[1:], "question")
+    return rows.withColumn("position", F.row_number().over(w)).orderBy(by[0], "position")
+
+
+def already_loaded(rows: DataFrame, served: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Rows whose key the serving table has."""
+    return rows.join(served.select(key), key, "left_semi")
+
+
+def of_known_users(rows: DataFrame, users: DataFrame, removed: DataFrame, key: str = "user_id") -> DataFrame:
+    """Materialised rows of the users there are, without those that were removed."""
+    return rows.join(users.select(key), key, "left_semi").join(removed.select(key), key, "left_anti")
+
+
+def active_partitions(materialised: DataFrame, current: DataFrame, key: str = "user_id") -> DataFrame:
+    return materialised.select(key).intersect(current.select(key))
+
+
 def redact_exports(convs: DataFrame) -> DataFrame:
     """Redact the message texts of both shapes and nothing else."""
     from ..functions.text import redact
@@ -114,9 +141,9 @@ def read_user(spark: SparkSession, path: str, user_id: object) -> DataFrame:
     return spark.read.parquet(path).where(F.col("user_id") == user_id)
 
 
-def poll_uploads(spark: SparkSession, path: str, schema: str):
-    """Stream of newly arrived export files."""
-    return spark.readStream.schema(schema).option("multiLine", True).json(path)
+def poll_uploads(spark: SparkSession, path: str, schema: str = EXPORT_SCHEMA, lines: bool = False) -> DataFrame:
+    """Stream of newly arrived export files; a trigger of 30 seconds polls for them."""
+    return spark.readStream.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
