@@ -40,11 +40,11 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, by: list[str], metrics: list[
 
 def histogram(df: DataFrame, x: str, by: list[str], bins: int = 20) -> DataFrame:
     """Counts and mean by equal bins between the least and greatest value of all rows.  Values
-    are summed as decimals of six places, so the mean does not depend on their order."""
+    are amounts of two decimals, summed as such, so the mean does not depend on their order."""
     ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     d = df.join(F.broadcast(ends))  # one row
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    return d.groupBy(*by, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(x).cast("decimal(30,6)")) / F.count(x)).cast("double").alias("mean"))
+    return d.groupBy(*by, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(x).cast("decimal(16,2)")) / F.count(x).cast("decimal(12,0)")).alias("mean"))
 
 
 def weighted_sum(metrics: dict[str, float]) -> Column:

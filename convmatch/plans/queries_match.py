@@ -329,9 +329,10 @@ def b12(spark, sf):
 
 
 @query("b13_histogram", """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
-  SELECT o_orderstatus, CAST(least(floor((o_totalprice - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders, e GROUP BY ALL""")
+  SELECT o_orderstatus, CAST(least(floor((o_totalprice - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n,
+  ((200 * sum(round(o_totalprice * 100)::HUGEINT) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS mean FROM orders, e GROUP BY ALL""")
 def b13(spark, sf):
-    return balance.histogram(t(spark, sf, "orders"), "o_totalprice", ["o_orderstatus"]).withColumn("mean", F.round("mean", 4))
+    return balance.histogram(t(spark, sf, "orders"), "o_totalprice", ["o_orderstatus"]).withColumn("mean", F.round("mean", 4).cast("double"))
 
 
 @query("b14_ten_best", f"WITH {SIDES} SELECT {IDS}, round(imbalance, 6) AS imbalance FROM balanced WHERE category <> 'coding' ORDER BY balanced.imbalance, {IDS} LIMIT 10")
