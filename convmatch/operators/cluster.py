@@ -68,12 +68,12 @@ def ward(x: np.ndarray, k: int | None = None, distance: float | None = None) ->
 
 def ward_clusters(df: DataFrame, by: list[str], key: str, v: str, k: int | None = None, distance: float | None = None, max_items: int | None = None, tries: int = 5) -> DataFrame:
     """by, key, label.  With ``max_items`` starts at ceil(n / max_items) clusters and adds one
-    until the largest fits, no try helps or ``tries`` are over.  A group (two users' newest
-    conversations) is bounded by its users' row limit."""
+    until the largest fits, no try helps or ``tries`` are over.  A group holds two users' newest
+    conversations (:func:`match_members`); a larger one is refused."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
+        pdf = bounded(pdf).sort_values(key, kind="stable")
         x = np.stack(pdf[v].to_numpy())
         if max_items is None:
             label = ward(x, k, distance)
@@ -101,7 +101,7 @@ def density_clusters(df: DataFrame, by: list[str], key: str, v: str, least: int
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
+        pdf = bounded(pdf).sort_values(key, kind="stable")
         x = np.stack(pdf[v].to_numpy()).astype(float)
         n = len(x)
         d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
@@ -126,8 +126,22 @@ def density_clusters(df: DataFrame, by: list[str], key: str, v: str, least: int
     return df.select(*by, key, v).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", label long")
 
 
-def match_members(top: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Rows of both users of every match: current_user_id, match_group_id and the vectors."""
+#: Conversations of a user that take part in matching: the newest (fixed value).
+NEWEST = 1500
+
+
+def bounded(pdf: pd.DataFrame, most: int = 2 * NEWEST) -> pd.DataFrame:
+    """A match group, which holds two users' newest rows; more is a caller's mistake."""
+    if len(pdf) > most:
+        raise ValueError(f"a group of {len(pdf)} rows: take each user's newest {most // 2} first")
+    return pdf
+
+
+def match_members(top: DataFrame, vectors: DataFrame, newest: int = NEWEST, order: str = "conversation_id") -> DataFrame:
+    """Rows of both users of every match: current_user_id, match_group_id and the vectors of
+    each user's ``newest`` conversations, by ``order``."""
+    w = Window.partitionBy("user_id").orderBy(F.desc(order))
+    vectors = vectors.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= newest).drop("_n")
     both = top.select(F.col("user_id").alias("current_user_id"), "match_group_id", F.explode(F.array("user_id", "other_id")).alias("user_id"))
     return both.join(vectors, "user_id")
 

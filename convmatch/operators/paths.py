@@ -25,6 +25,8 @@ PATH_SCHEMA = (
     "common array<bigint>, user1 array<bigint>, user2 array<bigint>, len_user1 int, len_user2 int, background string, is_sensitive boolean"
 )
 
+ERROR_SCHEMA = "current_user_id bigint, match_group_id int, cluster_id bigint, category string, round int, reason string"
+
 
 def parse_answer(answer: Column) -> Column:
     """Three disjoint id lists of an answer, sorted and distinct; ``ok`` if none is empty."""
@@ -118,7 +120,7 @@ def rows_of_sides(members: DataFrame) -> DataFrame:
     return m.withColumn("_a", F.bool_or("mine").over(c)).withColumn("_b", F.bool_or(~F.col("mine")).over(c)).where("_a and _b").drop("_a", "_b")
 
 
-def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], DataFrame], ratios: dict[str, float] | None = None, total: int = MAX_PATHS, budget: int = MAX_CALLS, retries: int = 2) -> DataFrame:
+def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], save: saver, ratios: dict[str, float] | None = None, total: int = MAX_PATHS, budget: int = MAX_CALLS, retries: int = 2, with_errors: bool = False):
     """Greedy path discovery for all users and match groups, round by round.
 
     ``rows`` (current_user_id, match_group_id, cluster_id, category, row_idx, user_id,
@@ -128,12 +130,24 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
     answers, and goes on until quotas, the budget of calls per user, or clusters end.  A
     cluster is asked again at most ``retries`` times without gain.  Scaling is fitted once for
     each category, on what earlier categories left.  ``save`` writes a table and reads it
-    back, so a lost executor does not rerun rounds.
+    back, so a lost executor does not rerun rounds; state tables that nothing reads any more go.
+
+    A match group whose call fails does not stop the others: it is tried again like a rejected
+    answer.  With ``with_errors`` returns (paths, errors): current_user_id, match_group_id,
+    cluster_id, category, round and reason of every call that failed (the scorer's ``error``
+    column, if it adds one) or whose answer was rejected.
     """
     spark = rows.sparkSession
     group = ["current_user_id", "match_group_id"]
     rows = save(rows)
-    pool, used, paths = rows, None, None
+    pool, used, paths, errors = rows, None, None, None
+
+    def replace(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        out = save(new)
+        if old is not None and old is not rows:
+            save.drop(old)
+        return out
+
     asked = save(rows.select(*group, "cluster_id").distinct().withColumn("tries", F.lit(0)))
     calls = save(rows.select("current_user_id").distinct().withColumn("calls", F.lit(0)))
     counts = save(rows.select(*group).distinct().withColumn("total", F.lit(0)))
@@ -143,7 +157,7 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
             continue
         want = -(-round(ratio * total * 1e9) // 10**9)
         scaler, done = None, save(counts.select(*group).withColumn("n", F.lit(0)))
-        for _ in range(total * (retries + 1)):
+        for turn in range(total * (retries + 1)):
             sizes = pool.where(F.col("category") == category).groupBy(*group, "cluster_id").agg(F.count_if("mine").alias("n1"), F.count_if(~F.col("mine")).alias("n2"))
             sizes = sizes.where("n1 > 0 and n2 > 0").withColumn("imbalance", imbalance(F.col("n1"), F.col("n2")))
             if scaler is None:
@@ -159,33 +173,50 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
                 break
             sides = side_text(pool.join(chosen, [*group, "cluster_id"]), [*group, "cluster_id", "mine"], ["row_idx"])
             both = sides.groupBy(*group, "cluster_id").agg(F.max(F.when(F.col("mine"), F.col("block"))).alias("b1"), F.max(F.when(~F.col("mine"), F.col("block"))).alias("b2"))
-            told = save(scorer(both.select(*group, "cluster_id", path_prompt(F.col("b1"), F.col("b2")).alias("prompt"))))
-            got = save(told.withColumn("a", parse_answer(F.col("answer"))).select(*group, "cluster_id", "a.*"))
+            told = scorer(both.select(*group, "cluster_id", path_prompt(F.col("b1"), F.col("b2")).alias("prompt")))
+            why = F.col("error") if "error" in told.columns else F.lit(None).cast("string")
+            got = save(told.withColumn("a", parse_answer(F.col("answer"))).select(*group, "cluster_id", why.alias("reason"), "a.*"))
+            if with_errors:
+                bad = got.where("not ok").select(*group, "cluster_id", F.lit(category).alias("category"), F.lit(turn).alias("round"), F.coalesce("reason", F.lit("rejected answer")).alias("reason"))
+                errors = replace(errors, bad if errors is None else errors.unionByName(bad))
             named = got.select(*group, F.explode(F.concat("common", "user1", "user2")).alias("row_idx")).distinct()
-            used = save(named if used is None else used.unionByName(named).distinct())
-            pool = save(rows.join(used, [*group, "row_idx"], "left_anti"))
+            used = replace(used, named if used is None else used.unionByName(named).distinct())
+            pool = replace(pool, rows.join(used, [*group, "row_idx"], "left_anti"))
             accepted = got.where("ok").join(other, [*group, "cluster_id"]).join(counts, group).withColumn("path_seq", F.col("total").cast("long"))
             key = F.sha2(F.concat_ws("|", "current_user_id", "match_group_id", "cluster_id", "path_seq"), 256)
             new = accepted.select(
                 key.alias("path_id"), "current_user_id", "other_user_id", "match_group_id", F.col("cluster_id").cast("long"), F.lit(category).alias("category"), "path_seq", "title",
                 "common", "user1", "user2", (F.size("user1") + F.size("common")).alias("len_user1"), (F.size("user2") + F.size("common")).alias("len_user2"), "background", "is_sensitive",
             )
-            paths = save(new if paths is None else paths.unionByName(new))
+            paths = replace(paths, new if paths is None else paths.unionByName(new))
             gain = got.where("ok").select(*group).withColumn("g", F.lit(1))
-            counts = save(counts.join(gain, group, "left").select(*group, (F.col("total") + F.coalesce("g", F.lit(0))).alias("total")))
-            done = save(done.join(gain, group, "left").select(*group, (F.col("n") + F.coalesce("g", F.lit(0))).alias("n")))
+            counts = replace(counts, counts.join(gain, group, "left").select(*group, (F.col("total") + F.coalesce("g", F.lit(0))).alias("total")))
+            done = replace(done, done.join(gain, group, "left").select(*group, (F.col("n") + F.coalesce("g", F.lit(0))).alias("n")))
             tried = chosen.join(gain, group, "left").select(*group, "cluster_id", F.when(F.col("g").isNull(), 1).otherwise(0).alias("t"))
-            asked = save(asked.join(tried, [*group, "cluster_id"], "left").select(*group, "cluster_id", (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries")))
-            calls = save(calls.join(chosen.groupBy("current_user_id").agg(F.count(F.lit(1)).alias("c")), "current_user_id", "left").select("current_user_id", (F.col("calls") + F.coalesce("c", F.lit(0))).cast("int").alias("calls")))
-    return paths if paths is not None else spark.createDataFrame([], PATH_SCHEMA)
+            asked = replace(asked, asked.join(tried, [*group, "cluster_id"], "left").select(*group, "cluster_id", (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries")))
+            calls = replace(calls, calls.join(chosen.groupBy("current_user_id").agg(F.count(F.lit(1)).alias("c")), "current_user_id", "left").select("current_user_id", (F.col("calls") + F.coalesce("c", F.lit(0))).cast("int").alias("calls")))
+            for old in (chosen, got):
+                save.drop(old)
+    paths = paths if paths is not None else spark.createDataFrame([], PATH_SCHEMA)
+    if not with_errors:
+        return paths
+    return paths, errors if errors is not None else spark.createDataFrame([], ERROR_SCHEMA)
 
 
-def saver(spark, root: str) -> Callable[[DataFrame], DataFrame]:
+class saver:
     """Written tables under ``root``, a folder that all executors share."""
 
-    def save(df: DataFrame) -> DataFrame:
-        path = f"{root}/rounds-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
 
-    return save
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/rounds-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._folder = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this saver that no plan reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -47,21 +47,35 @@ def tfidf_embedding(df: DataFrame, text: str, dim: int = 256) -> DataFrame:
     return d.withColumn("embedding", vector_to_array("_n")).drop("_w", "_tf", "_idf", "_n")
 
 
-def complete(df: DataFrame, prompt: str, scorer: Scorer, answer: str = "answer") -> DataFrame:
-    """Add ``answer``; a prompt that is null or fails gets null."""
+def complete(df: DataFrame, prompt: str, scorer: Scorer, answer: str = "answer", error: str | None = None, batch: int = 20) -> DataFrame:
+    """Add ``answer`` (and ``error``, the reason of a failed call), row by row beside its key.
+
+    Prompts go to the scorer in batches; a batch that fails is asked prompt by prompt, so that
+    one failed call is one null.  A null prompt is not asked.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for p in pdf[prompt]:
+            out, why = pd.Series(None, index=range(len(pdf)), dtype=object), pd.Series(None, index=range(len(pdf)), dtype=object)
+            asked = [i for i, p in enumerate(pdf[prompt]) if p is not None]
+            for lo in range(0, len(asked), batch):
+                some = asked[lo : lo + batch]
                 try:
-                    out.append(scorer([p])[0] if p is not None else None)
-                except Exception:  # one failed call is one null
-                    out.append(None)
-            yield pdf.assign(**{answer: pd.Series(out, index=pdf.index, dtype=object)})
+                    got = scorer([pdf[prompt].iloc[i] for i in some])
+                    if len(got) != len(some):
+                        raise ValueError("the scorer gave another number of answers")
+                    out[some] = got
+                except Exception:
+                    for i in some:
+                        try:
+                            out[i] = scorer([pdf[prompt].iloc[i]])[0]
+                        except Exception as e:  # the service's failure is data here
+                            why[i] = str(e)
+            pdf = pdf.assign(**{answer: out.to_numpy()})
+            yield pdf.assign(**{error: why.to_numpy()}) if error else pdf
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{kinds}, {answer} string")
+    return df.mapInPandas(run, f"{kinds}, {answer} string" + (f", {error} string" if error else ""))
 
 
 def complete_sequence(df: DataFrame, prompts: list[Column | Callable[[Column], Column]], scorer: Scorer) -> DataFrame:
@@ -83,6 +97,12 @@ def context(turns: str, with_memory: Column) -> Column:
     return F.when(with_memory, F.col(turns)).otherwise(F.slice(turns, -1, 1))
 
 
+def reusable(rows: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
+    """Add ``reuse``: whether the stored row of the key has the same content."""
+    old = stored.select(key, F.col(content).alias("_old"))
+    return rows.join(old, key, "left").withColumn("reuse", F.coalesce(F.col("_old") == F.col(content), F.lit(False))).drop("_old")
+
+
 def lead_sentence(prompts: list[str]) -> list[str]:
     """Built-in summariser: first sentence of the last block."""
     return [re.split(r"(?<=[.!?])\s", p.split("\n\n")[-1].strip())[0] for p in prompts]

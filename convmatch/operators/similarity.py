@@ -53,6 +53,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, other_users: bool =
             if other_users:
                 ok &= users != q["q_user"].iloc[i]
             at = np.flatnonzero(ok)
+            if len(at) > k:  # ties with the k-th stay until the ids decide
+                at = at[s[i, at] >= np.partition(s[i, at], -k)[-k]]
             at = at[np.lexsort((ids[at], -s[i, at]))[:k]]
             out.append(pd.DataFrame({"q_id": q["q_id"].iloc[i], "q_user": q["q_user"].iloc[i], "c_id": ids[at], "c_user": users[at], "score": s[i, at]}))
         return pd.concat(out) if out else pd.DataFrame({"q_id": [], "q_user": [], "c_id": [], "c_user": [], "score": []})
@@ -124,6 +126,83 @@ def top_users(pairs: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("match_group_id", F.col("rank") - 1)
 
 
+def _centres(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Plain k-means of a bounded sample."""
+    c = rows[np.random.default_rng(5).choice(len(rows), k, replace=False)]
+    for _ in range(rounds):
+        near = ((c * c).sum(1)[None] - 2 * rows @ c.T).argmin(1)
+        n = np.bincount(near, minlength=k)
+        total = np.zeros_like(c)
+        np.add.at(total, near, rows)
+        c = np.where(n[:, None] > 0, total / n.clip(1)[:, None], c)
+    return c
+
+
+def candidate_top_users(vectors: DataFrame, k: int = 5, sample: int = 100, candidates: int = 50, probes: int = 8, newest: int = 1500, max_sample: int = 20_000) -> DataFrame:
+    """:func:`top_users` without meeting all pairs of users.
+
+    Inverted lists (centres fitted on about ``max_sample`` vectors) give each of a user's at
+    most ``sample`` query vectors the best of every other user's vectors in ``probes`` lists;
+    the ``candidates`` users with the largest sums are then compared exactly, pair by pair, a
+    pair being ``sample`` by ``newest`` vectors.  Work grows with the users, not with their
+    square; a user who shares no list with another is not found, so recall is below one.
+    """
+    w = Window.partitionBy("user_id")
+    v = vectors.withColumn("_r", F.row_number().over(w.orderBy(F.desc("conversation_id")))).where(F.col("_r") <= newest)
+    v = v.select("user_id", "conversation_id", "v")
+    q = v.withColumn("_r", F.row_number().over(w.orderBy(sample_order(F.col("conversation_id")), "conversation_id"))).where(F.col("_r") <= sample).drop("_r")
+    n = v.count()
+    part = F.pmod(F.xxhash64("user_id", "conversation_id"), F.lit(2**40)) < F.lit(min(2**40, int(2**40 * max_sample / max(1, n))))
+    got = [r["v"] for r in v.where(part).select("v").limit(2 * max_sample).collect()]
+    schema = "user_id long, other_id long, similarity double"
+    if not got:
+        return top_users(v.sparkSession.createDataFrame([], schema), k)
+    lists = max(1, min(2048, int(np.sqrt(n)), len(got) // 8))
+    c = _centres(np.array(got), lists)
+
+    def assign(many: int):
+        def run(frames):
+            for pdf in frames:
+                if len(pdf):
+                    d = (c * c).sum(1)[None] - 2 * np.stack(pdf["v"].to_numpy()) @ c.T
+                    at = np.argsort(d, axis=1, kind="stable")[:, :many]
+                    out = pdf.loc[pdf.index.repeat(at.shape[1])]
+                    yield out.assign(list=at.ravel().astype("int64"))
+
+        return run
+
+    wide = "user_id long, conversation_id long, v array<double>, list long"
+    # a list is dealt in blocks of its members, each of which meets the list's queries in blocks
+    held = v.mapInPandas(assign(1), wide)
+    blocks = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_b"))
+    asked = q.mapInPandas(assign(min(probes, lists)), wide)
+    parts = blocks.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_q")), "list")
+    left = asked.join(parts, "list").select("user_id", "conversation_id", "v", "list", F.pmod(F.xxhash64("conversation_id"), "_q").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_b"))
+    right = held.join(parts, "list").select(F.col("user_id").alias("other_id"), F.col("v").alias("w"), "list", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("_q"), F.pmod(F.xxhash64("conversation_id"), "_b").alias("_b"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"user_id": [], "conversation_id": [], "other_id": [], "s": []})
+        users, at = np.unique(b["other_id"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        s = np.stack(a["v"].to_numpy()) @ np.stack(b["w"].to_numpy())[order].T
+        top = np.maximum.reduceat(s, np.searchsorted(at[order], np.arange(len(users))), axis=1)
+        return pd.DataFrame({"user_id": np.repeat(a["user_id"].to_numpy(), len(users)), "conversation_id": np.repeat(a["conversation_id"].to_numpy(), len(users)), "other_id": np.tile(users, len(a)), "s": top.ravel()})
+
+    near = left.groupBy("list", "_q", "_b").cogroup(right.groupBy("list", "_q", "_b")).applyInPandas(best, "user_id long, conversation_id long, other_id long, s double")
+    near = near.where("user_id <> other_id").groupBy("user_id", "conversation_id", "other_id").agg(F.max("s").alias("s"))
+    near = near.groupBy("user_id", "other_id").agg(F.sum(F.greatest("s", F.lit(0.0))).alias("s"))
+    pairs = near.withColumn("_r", F.row_number().over(w.orderBy(F.desc("s"), "other_id"))).where(F.col("_r") <= candidates).select("user_id", "other_id")
+
+    def exact(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack(a["v"].to_numpy()) @ np.stack(b["w"].to_numpy()).T
+        return pd.DataFrame({"user_id": a["user_id"].iloc[:1].to_numpy(), "other_id": a["other_id"].iloc[:1].to_numpy(), "similarity": [s.max(1).mean()]})
+
+    mine = pairs.join(q, "user_id").select("user_id", "other_id", "v")
+    theirs = pairs.join(v.select(F.col("user_id").alias("other_id"), F.col("v").alias("w")), "other_id").select("user_id", "other_id", "w")
+    return top_users(mine.groupBy("user_id", "other_id").cogroup(theirs.groupBy("user_id", "other_id")).applyInPandas(exact, schema), k)
+
+
 def mixed_threshold(hits: DataFrame, by: str, distance: str, limit: float) -> DataFrame:
     """Where a result has rows within and beyond ``limit``, keep those within; else all."""
     w = Window.partitionBy(by)

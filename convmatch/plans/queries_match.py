@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import balance, cluster, graph, paths, serving, similarity
+from ..operators import balance, cluster, graph, paths, scoring, serving, similarity
 from . import views
 from .views import MATCHES, MEMBERS, PATHS, SIDES, SIMS, USER_VEC, USERS, t, user_vec
 
@@ -101,6 +101,12 @@ def v10(spark, sf):
     return _top(spark, sf).select("user_id", "other_id", F.col("rank").cast("long").alias("rank"), F.col("match_group_id").cast("long").alias("match_group_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("v10_candidate_users")
+def v10_candidates(spark, sf):
+    """v10_top_users through inverted lists: only candidate pairs of users are compared."""
+    return similarity.candidate_top_users(user_vec(spark, sf)).select("user_id", "other_id", "rank", "match_group_id", F.round("similarity", 6).alias("similarity"))
+
+
 KNN_OTHER = f"""{USER_VEC}, s AS (SELECT a.conversation_id AS q_id, b.conversation_id AS c_id, b.user_id AS c_user, 1 - list_inner_product(a.v, b.v) AS distance
   FROM user_vec a JOIN user_vec b ON a.user_id <> b.user_id WHERE a.conversation_id % 10 = 0),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, c_id) AS rank FROM s) WHERE rank <= 5)"""
@@ -137,8 +143,8 @@ def v16(spark, sf):
   LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'old' END AS text FROM documents WHERE doc_id % 3 = 0) s USING (doc_id)""")
 def v17(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "text")
-    stored = d.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("old").alias("stored"))
-    return d.join(stored, "doc_id", "left").select("doc_id", F.coalesce(F.col("stored") == F.col("text"), F.lit(False)).alias("reuse"))
+    stored = d.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("old").alias("text"))
+    return scoring.reusable(d, stored, "doc_id", "text").select("doc_id", "reuse")
 
 
 @query("v18_bands", f"""WITH {NEXT} SELECT conversation_id, CASE WHEN s > 0.85 THEN 'very similar' WHEN s > 0.7 THEN 'similar' WHEN s > 0.5 THEN 'somewhat similar' ELSE 'different' END AS band

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assemble, balance, cluster, graph, paths, scoring, series, serving
+from ..operators import assemble, balance, cluster, graph, match_run, paths, scoring, series, serving
 from ..sources import exports
 from . import queries_match as M
 from . import views
@@ -309,3 +309,18 @@ def d20(spark, sf):
     zero = F.lit(0).cast("long")
     return serving.upsert_feedback(o.where("path_id % 3 <> 0").withColumn("score", zero), o.where("path_id % 2 = 0").withColumn("score", F.col("path_id") % 5 - 2))
 
+
+
+def _category_of(prompts: list[str]) -> list[str]:
+    """A rule in place of a model: the category by the number of summaries that are named."""
+    names = ("research", "humanistic", "practical")
+    return [f'{{"category": "{names[p.count(chr(10)) % 3]}"}}' for p in prompts]
+
+
+@query("e2e_match_run")
+def e2e(spark, sf):
+    """From vectors and exchanges to user_paths rows, with the built-in rules as scorers."""
+    v = views.user_vec(spark, sf).select("user_id", "conversation_id", "v")
+    talk = v.select("user_id", "conversation_id", F.lit(None).cast("string").alias("title"), F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"), F.lit(None).cast("string").alias("date_text"))
+    save = paths.saver(spark, views.shared_root(spark))
+    return match_run.match_run(v, talk, assemble.questions(views.exchanges(spark, sf)), _category_of, scoring.first_ids_path, save)["user_paths"]

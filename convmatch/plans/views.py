@@ -35,7 +35,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER B
 
 MEMBERS = f"""{SIMS},
 both_users AS (SELECT user_id AS current_user_id, rank - 1 AS match_group_id, unnest([user_id, other_id]) AS user_id FROM top),
-members AS (SELECT b.current_user_id, b.match_group_id, b.user_id, u.conversation_id, u.label, u.v FROM both_users b JOIN user_vec u USING (user_id)),
+newest AS (SELECT * FROM user_vec QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY conversation_id DESC) <= 1500),
+members AS (SELECT b.current_user_id, b.match_group_id, b.user_id, u.conversation_id, u.label, u.v FROM both_users b JOIN newest u USING (user_id)),
 numbered AS (SELECT *, dense_rank() OVER (PARTITION BY current_user_id ORDER BY match_group_id, label) - 1 AS cluster_id FROM members)"""
 
 CATEGORY = "CASE label % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'humanistic' WHEN 2 THEN 'practical' ELSE 'coding' END"
