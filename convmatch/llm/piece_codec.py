@@ -94,7 +94,7 @@ class PieceCodec:
     def _known(self, text: str) -> list[str]:
         """Pieces of a run of characters that all are pieces themselves."""
         best, n = self.longest(text), len(text)
-        failed = 0  # bitfield of positions from which no compatible way on exists
+        failed = bytearray(n // 8 + 1)  # bitfield of positions from which no compatible way on exists
         out: list[str] = []
         at, piece = 0, best[0]
         while True:
@@ -102,7 +102,7 @@ class PieceCodec:
             took = False
             while piece is not None:
                 end = at + len(piece)
-                if not failed >> end & 1 and self.made[piece] and (prev is None or self.compatible(prev, piece)):
+                if not failed[end >> 3] >> (end & 7) & 1 and self.made[piece] and (prev is None or self.compatible(prev, piece)):
                     took = True
                     break
                 piece = self.shorter[piece]
@@ -115,7 +115,7 @@ class PieceCodec:
             else:
                 if not out:
                     return self._replay(text)
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 last = out.pop()
                 at -= len(last)
                 piece = self.shorter[last]
