@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from pathlib import Path
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns
 
-#: Default templates: common one-line notices (fixed values).
-TEMPLATES = {
+#: Common one-line notices (fixed values).
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": "Use of this source code is governed by a BSD 2-Clause license.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -21,6 +24,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 LEAST_DICE = 0.8
+#: A size band ends where the next one starts, at this ratio.
+_BAND = 1.25
+
+
+def default_templates() -> list[tuple[str, str]]:
+    """The notices, and the licence texts and longer notices that come with the package."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return [*NOTICES.items(), *((f.stem.removesuffix(".notice"), f.read_text(encoding="utf-8")) for f in files)]
 
 
 def normalised(text: str) -> str:
@@ -32,70 +43,94 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> DataFrame:
-    """Lines and whole texts like a licence template: doc_id, license, n_lines, best_dice.
+def _grams(templates: list[tuple[str, str]] | None) -> list[tuple[str, list[str]]]:
+    return [(name, g) for name, text in (default_templates() if templates is None else templates) if (g := bigrams_of(text))]
+
 
-    A unit is a line, or the whole text where it has several.  Letters are lowered and all
-    but a-z and 0-9 become one blank; a unit matches if the Dice coefficient of its distinct
-    word bigrams with a template's is ``least`` or more, and counts for the template it is most
-    like (of equals the last by name).  Two sets of sizes a and b can reach
-    t only if (2-t)/t * min >= max, so a unit meets only the templates within these bounds and
-    most lines meet none.  Templates are a literal of the plan: their number is the caller's
-    and does not grow with the documents.
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST_DICE) -> DataFrame:
+    """Lines, paragraphs and whole texts like a licence template: doc_id, license, n_units, best_dice.
 
-    n_lines counts matching units of a document and template, best_dice is their highest
-    (6 decimals).  Documents without a match give no row; null and empty texts have no unit;
-    rows that repeat a doc_id are counted together; an empty table gives no rows.
+    A unit is a line, a paragraph (of several), or the whole text where it has several lines.
+    Letters are lowered and all but a-z and 0-9 become one blank; a unit matches if the Dice
+    coefficient of its distinct word bigrams with a template's is ``least`` or more, and counts
+    for the template it is most like (of equals the last by name).
+
+    Two sets of sizes a and b can reach t only if (2-t)/t * min >= max, and they then share
+    t/(2-t) of each at least; so of any third and one more of a template's bigrams a match holds
+    one.  Units without one of these (the longest words' bigrams of each template) end there,
+    in a set lookup for each bigram.  What is left meets the templates of its size band: a
+    table of them, of the size of the templates times the bands within their bounds.
+
+    n_units counts matching units of a document and licence, best_dice is their highest (6
+    decimals).  Documents without a match give no row; null and empty texts have no unit; rows
+    that repeat a doc_id are counted together; texts of any length are read whole; other
+    columns are not read; an empty table gives no rows.
     """
-    templates = TEMPLATES if templates is None else templates
-    grams = {k: g for k, v in templates.items() if (g := bigrams_of(v))}
-    schema = "doc_id long, license string, n_lines long, best_dice double"
+    grams = _grams(templates)
+    schema = "doc_id long, license string, n_units long, best_dice double"
     if not grams:
         return docs.sparkSession.createDataFrame([], schema)
-    low = min(len(g) for g in grams.values()) * least / (2 - least)
-    high = max(len(g) for g in grams.values()) * (2 - least) / least
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
+    ratio = (2 - least) / least
+    probes: set[str] = set()
+    for _, g in grams:
+        need = math.ceil(len(g) / ratio - 1e-9)
+        probes.update(sorted(g, key=lambda x: (-len(x), x))[: len(g) - need + 1])
+    low, high = min(len(g) for _, g in grams) / ratio, max(len(g) for _, g in grams) * ratio
+
+    def band(n: float) -> int:
+        return math.floor(math.log(n) / math.log(_BAND))
+
+    by_band: dict[int, list[tuple[str, list[str]]]] = {}
+    for name, g in grams:
+        # one band more on either side, so that no rounding parts a unit from its template
+        for b in range(band(max(1.0, len(g) / ratio)) - 1, band(len(g) * ratio) + 2):
+            by_band.setdefault(b, []).append((name, g))
+    table = docs.sparkSession.createDataFrame(list(by_band.items()), "band int, templates array<struct<license: string, tg: array<string>>>")
+
+    lines, parts = F.split("text", "\n"), F.split("text", r"\n[ \t]*\n")
+    none = F.array().cast("array<string>")
+    units = F.concat(lines, F.when(F.size(parts) > 1, parts).otherwise(none), F.when(F.size(lines) > 1, F.array("text")).otherwise(none))
     words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")), " "))
     # each explode_outer hands its rows on ready made: filters on them are not moved below it,
     # where they would evaluate the expression again
     d = columns(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long"), F.explode_outer(words).alias("w"))
     d = d.where((F.size("w") >= 2) & (F.size("w") > low))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    d = d.select("doc_id", F.explode_outer(F.array(F.array_distinct(pairs))).alias("g"))
+    d = d.select("doc_id", F.explode_outer(F.array(pairs)).alias("p"))
+    d = d.where(F.exists("p", lambda x: x.isin(*sorted(probes)))).select("doc_id", F.explode_outer(F.array(F.array_distinct("p"))).alias("g"))
     n = F.size("g")
-    d = d.where((n >= low - 1e-9) & (n <= high + 1e-9))
+    d = d.where((n >= low - 1e-9) & (n <= high + 1e-9)).withColumn("band", F.floor(F.log(n.cast("double")) / math.log(_BAND)).cast("int"))
 
-    def dice(g: list[str]) -> Column:
-        common = F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in g])))
-        within = (n >= len(g) * least / (2 - least) - 1e-9) & (n <= len(g) * (2 - least) / least + 1e-9)
-        return F.when(within, 2.0 * common / (n + len(g)))
+    def dice(t):
+        return F.when(
+            (n * ratio >= F.size(t["tg"]) - 1e-9) & (F.size(t["tg"]) * ratio >= n - 1e-9),
+            2.0 * F.size(F.array_intersect("g", t["tg"])) / (n + F.size(t["tg"])),
+        )
 
-    scored = F.array(*[F.struct(dice(g).alias("dice"), F.lit(k).alias("license")) for k, g in grams.items()])
+    scored = F.transform("templates", lambda t: F.struct(dice(t).alias("dice"), t["license"].alias("license")))
     best = F.array_max(F.filter(scored, lambda s: s["dice"] >= least))
-    hits = d.select("doc_id", F.explode_outer(F.array(best)).alias("s")).where("s is not null")
+    # bounded by the caller's templates
+    hits = d.join(F.broadcast(table), "band").select("doc_id", F.explode_outer(F.array(best)).alias("s")).where("s is not null")
     return hits.groupBy("doc_id", F.col("s.license").alias("license")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.round(F.max("s.dice"), 6).alias("best_dice")
+        F.count(F.lit(1)).alias("n_units"), F.round(F.max("s.dice"), 6).alias("best_dice")
     )
 
 
-def oracle(templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> str:
-    """The same result in DuckDB's SQL."""
-    rows = ", ".join(
-        "('{}', [{}])".format(k, ", ".join(f"'{x}'" for x in bigrams_of(v))) for k, v in (TEMPLATES if templates is None else templates).items()
-    )
+def oracle(templates: list[tuple[str, str]] | None = None, least: float = LEAST_DICE) -> str:
+    """The same result in DuckDB's SQL: every unit against every template of fitting size."""
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{x}'" for x in g)) for k, g in _grams(templates))
     return f"""
     WITH t(license, tg) AS (VALUES {rows}),
+    lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents WHERE text IS NOT NULL),
     units AS (
-      SELECT doc_id, unnest(CASE WHEN len(string_split(text, chr(10))) > 1 THEN list_append(string_split(text, chr(10)), text)
-                                 ELSE string_split(text, chr(10)) END) AS u
-      FROM documents WHERE text IS NOT NULL),
+      SELECT doc_id, unnest(list_concat(l, CASE WHEN len(p) > 1 THEN p ELSE [] END, CASE WHEN len(l) > 1 THEN [text] ELSE [] END)) AS u FROM lines),
     words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
     grams AS (
       SELECT row_number() OVER () AS unit, doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g
       FROM words WHERE len(w) >= 2),
-    hits AS (
-      SELECT unit, doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM grams, t
-      WHERE 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) >= {least}),
-    best AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY dice DESC, license DESC) AS r FROM hits)
-    SELECT doc_id, license, count(*) AS n_lines, round(max(dice), 6) AS best_dice FROM best WHERE r = 1 GROUP BY doc_id, license"""
+    near AS (
+      SELECT unit, doc_id, license, g, tg FROM grams JOIN t
+      ON len(g) * {2 - least} >= len(tg) * {least} - 1e-6 AND len(tg) * {2 - least} >= len(g) * {least} - 1e-6),
+    hits AS (SELECT unit, doc_id, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM near),
+    best AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY dice DESC, license DESC) AS r FROM hits WHERE dice >= {least})
+    SELECT doc_id, license, count(*) AS n_units, round(max(dice), 6) AS best_dice FROM best WHERE r = 1 GROUP BY doc_id, license"""
