@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +27,24 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/convmatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _free(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 
 
+_freed = 0.0
+
+
+def _free(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Let Spark drop the shuffle files of jobs that are over: it does so when its driver
+    collects garbage, which a driver with much memory seldom needs to."""
+    global _freed
+    if time.monotonic() - _freed > seconds:
+        spark._jvm.System.gc()
+        _freed = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing reads any more, not even a plan not yet run."""
     for df in tables:

@@ -8,8 +8,9 @@ A document's set holds the 64-bit hashes of its distinct shingles.  Sets are met
 * Large sets scan inverted lists: each lists its first n - ceil(t * n) + 1 shingles in one
   order for all sets, and similar sets have a shingle in common there.
 
-The boundary is where enumeration would cost more keys than ``cost`` times the list prefix
-(``subset_boundary``); sets near it do both, so that a pair across it meets in the lists.
+The boundary is chosen by cost in each run (``subset_boundary``): the numbers of sets by size
+and the share of list entries that meet others are counted first, over all documents.  Sets
+near the boundary do both, so that a pair across it meets in the lists.
 
 The order of shingles is light before heavy, then by hash.  Heavy are the shingles found in
 most documents, at most ``max_heavy`` of them; so a phrase that many documents share seldom
@@ -41,11 +42,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, row_key, written
-from .substring_dedup import zipped
+from .common import columns, components, discard, key_doc_id, row_key, written
 from .wordhash import batches_of_texts, mix, text_word_hashes, window_hashes, word_hashes
 
 _CLASSES = 64
+#: Sizes from here on are counted as one: their subsets are never listed.
+_MANY = 64
+#: Pairs of one set that are compared in one task, about.
+_PAIRS = 512
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -57,15 +61,26 @@ def least_subset(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def subset_boundary(percent: int, cost: float = 4.0) -> int:
-    """Largest n whose subsets number at most ``cost`` times (its list prefix + 1)."""
-    n = 0
-    while True:
-        m = n + 1
-        keys = sum(math.comb(m, c) for c in range(least_subset(m, percent), m + 1))
-        if keys > cost * (m - least_subset(m, percent) + 2) or m > 64:
-            return n
-        n = m
+def subsets(n: int, percent: int) -> int:
+    return sum(math.comb(n, c) for c in range(least_subset(n, percent), n + 1))
+
+
+def subset_boundary(sizes: dict[int, int], met: float, percent: int, most: int = 4096) -> int:
+    """The boundary of least cost, for ``sizes[n]`` sets of size n.
+
+    A subset costs one key.  An entry of an inverted list costs one row, and four more with
+    the share ``met`` that the list holds others (it is written again, looks up its centre and
+    is compared).  Sets with more than ``most`` subsets always use the lists.
+    """
+    best, least, s = 0, None, 0
+    while s == 0 or subsets(s, percent) <= most:
+        from_lists = least_subset(s + 1, percent)
+        cost = sum(c * subsets(n, percent) for n, c in sizes.items() if 0 < n <= s)
+        cost += sum(c * _prefix(n, percent) * (1 + 4 * met) for n, c in sizes.items() if n >= from_lists)
+        if least is None or cost < least:
+            best, least = s, cost
+        s += 1
+    return best
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -112,54 +127,75 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
             yield lo + i, shingle_set(h[at[i] : at[i + 1]], k)
 
 
+def zipped_sets(rows: DataFrame) -> DataFrame:
+    """_set, _parts and text with the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            z = [pack((t or "").encode()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["_set", "_parts", "_z"])
+
+    return rows.mapInArrow(run, "_set long, _parts int, _z binary")
+
+
 def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24, max_heavy: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(members, links): members are doc_id, n_shingles, _set, _n for every row; links are
     pairs (a, b) of doc_ids that connect every component of similar documents."""
     spark = docs.sparkSession
     base = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
-    small = subset_boundary(percent)
-    # a large set can be similar to sets down to this size, which scan the lists as well
-    least_listed = least_subset(small + 1, percent)
-
-    def listed_tokens(s: np.ndarray, heavy: np.ndarray, stretch: float = 1.0) -> np.ndarray:
-        if len(s) < least_listed:
-            return np.empty(0, dtype=np.int32)
-        return _token(_light_first(s, heavy)[: max(1, int(_prefix(len(s), percent) * stretch))])
 
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.int32)
+        """How often shingles (size -1: all but the rarest, -2: the listed ones) and sizes occur."""
         for b in batches:
-            first, rest = [], []
+            first, rest, sizes = [], [], []
             for _, s in _sets(b, 0, k):
-                own = listed_tokens(s, none, 1.25)
-                first.append(own)
-                if len(own):
-                    rest.append(_token(s[len(own) :]))
+                if len(s):
+                    sizes.append(min(len(s), _MANY))
+                    cut = max(1, int(_prefix(len(s), percent) * 1.25))
+                    first.append(_token(s[:cut]))
+                    rest.append(_token(s[cut:]))
             for toks, least in ((first, 1), (rest, 2)):
                 if toks:
                     tok, n = np.unique(np.concatenate(toks), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(tok[n >= least]), pa.array(n[n >= least])], ["_t", "_c"])
-
-    often = base.select("text").mapInArrow(count_rows, "_t int, _c long").groupBy("_t").agg(F.sum("_c").alias("_c")).where(F.col("_c") > short)
-    top = often.orderBy(F.desc("_c"), "_t").limit(max_heavy).select("_t").toArrow().column(0)
+                    tok, n = tok[n >= least], n[n >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.full(len(tok), -1, dtype=np.int32)), pa.array(n)], ["_t", "_size", "_c"])
+            if sizes:
+                size, n = np.unique(np.append(sizes, -2), return_counts=True)
+                n[0] = sum(map(len, first))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), dtype=np.int32)), pa.array(size.astype(np.int32)), pa.array(n)], ["_t", "_size", "_c"])
+
+    counted = base.select("text").mapInArrow(count_rows, "_t int, _size int, _c long").groupBy("_t", "_size").agg(F.sum("_c").alias("_c"))
+    counted = written(counted.where("_size <> -1 or _c > 1"))
+    sizes = {r["_size"]: r["_c"] for r in counted.where("_size <> -1").collect()}  # one row a size up to _MANY
+    entries = sizes.pop(-2, 0)
+    shared = counted.where("_size = -1").agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    small = subset_boundary(sizes, min(1.0, shared / max(1, entries)), percent)
+    # a large set can be similar to sets down to this size, which scan the lists as well
+    least_listed = least_subset(small + 1, percent)
+    top = counted.where((F.col("_size") == -1) & (F.col("_c") > short)).orderBy(F.desc("_c"), "_t").limit(max_heavy).select("_t").toArrow().column(0)
     heavy = spark.sparkContext.broadcast(np.sort(top.to_numpy()).astype(np.int32))  # 4 bytes * max_heavy at most
+    discard(counted)
+
+    def listed_tokens(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        return _token(_light_first(s, heavy)[: _prefix(len(s), percent)])
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hv = heavy.value
         for b in batches:
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
-            rows, toks, own, size, sets = [], [], [], [], []
+            rows, sets = [], []
             for i, s in _sets(b, 2, k):
                 n, key = len(s), _set_key(s)
                 # listed shingles come first, so that their index is their place in the order
                 parts = [listed_tokens(s, hv)] if n >= least_listed else []
                 if 0 < n <= small:
-                    subsets = []
+                    keys = []
                     for c in range(least_subset(n, percent), n + 1):
                         for sub in combinations(s.tolist(), c):
                             x = sum(sub) + 0x9E3779B97F4A7C15 * c
-                            subsets.append(mix(np.array([x & (2**64 - 1)], dtype=np.uint64)))
-                    parts.append(_token(np.concatenate(subsets)))
+                            keys.append(mix(np.array([x & (2**64 - 1)], dtype=np.uint64)))
+                    parts.append(_token(np.concatenate(keys)))
                 light = n - int(_is_heavy(s, hv).sum())
                 rank = (int(1000 * light / max(1, n)) << 53) | ((key >> 11) & (2**53 - 1))
                 sketch = np.bincount((s & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES).clip(0, 255).astype(np.uint8).tobytes()
@@ -169,7 +205,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
                         pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.int64()),
                         pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(t) for t in sets])].astype(np.int32), np.concatenate(sets)),
@@ -177,14 +213,14 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                     ["_id", "_th", "_n", "_set", "_sketch", "_rank", "_tokens"],
                 )
 
-    schema = "_id long, _th int, _n long, _set long, _sketch binary, _rank long, _tokens array<int>"
+    schema = "_id long, _th long, _n long, _set long, _sketch binary, _rank long, _tokens array<int>"
     rows = written(base.select("_id", "_th", "text").mapInArrow(posting_rows, schema))
-    members = rows.select(F.when(F.col("_id") != -(2**63), F.col("_id")).alias("doc_id"), "_n", "_set")
+    members = rows.select(key_doc_id().alias("doc_id"), "_n", "_set")
     # one row for each distinct set: its least document stands for it
     sets = written(
         rows.where("_n > 0")
         .groupBy("_set", "_n")
-        .agg(F.min(F.struct(F.when(F.col("_id") != -(2**63), F.col("_id")).isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"), F.min("_rank").alias("_rank"))
+        .agg(F.min(F.struct(key_doc_id().isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"), F.min("_rank").alias("_rank"))
         .select("_set", "_n", "_sketch", "_rank", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"))
     )
     postings = rows.where("_n > 0").join(sets.select("_set", "_n", "_id", "_th"), ["_set", "_n", "_id", "_th"], "left_semi")
@@ -221,9 +257,16 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
         y = sized.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_sketch").alias("_kb"))
         near = pairs.join(x, "_a").join(y, "_b").where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
         near = near.select("_a", "_b", "_na", "_nb", "_ka", "_kb").mapInArrow(difference_fits, "_a long, _b long")
-        near = written(near)
-        used = near.select(F.explode(F.array("_a", "_b")).alias("_set")).distinct().join(sets.select("_set", "_id", "_th"), "_set")
-        texts = zipped(base).dropDuplicates(["_id", "_th"]).join(used, ["_id", "_th"]).select("_set", "_z")
+        near = passed = written(near)
+        used = near.select(F.explode(F.array("_a", "_b")).alias("_set")).groupBy("_set").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).cast("int").alias("_parts"))
+        # written, so that Spark knows its size and can hand it to the texts instead of dealing them
+        used = written(used.join(sets.select("_set", "_id", "_th"), "_set"))
+        texts = zipped_sets(base.join(used, ["_id", "_th"]).select("_set", "_parts", "text")).dropDuplicates(["_set"])
+        # the text of a set with many pairs goes to several tasks
+        texts = texts.select("_set", "_z", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        parts = used.select("_set", "_parts")
+        near = near.join(parts.select(F.col("_set").alias("_a"), F.col("_parts").alias("_pa")), "_a").join(parts.select(F.col("_set").alias("_b"), F.col("_parts").alias("_pb")), "_b")
+        near = near.select("_a", "_b", F.pmod(F.xxhash64("_b"), F.col("_pa")).cast("int").alias("_pa"), F.pmod(F.xxhash64("_a"), F.col("_pb")).cast("int").alias("_pb"))
 
         def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unzip = zstandard.ZstdDecompressor().decompress
@@ -238,9 +281,11 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                     keep.append(100 * both >= percent * (len(s) + len(held) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        x, y = texts.select(F.col("_set").alias("_a"), F.col("_z").alias("_za")), texts.select(F.col("_set").alias("_b"), F.col("_z").alias("_zb"))
-        met = near.join(x, "_a").join(y, "_b").select("_a", "_b", "_za", "_zb")
-        return written(met.mapInArrow(count_shingles, "_a long, _b long"))
+        x, y = (texts.select(F.col("_set").alias(f"_{c}"), F.col("_part").alias(f"_p{c}"), F.col("_z").alias(f"_z{c}")) for c in "ab")
+        met = near.join(x, ["_a", "_pa"]).join(y, ["_b", "_pb"]).select("_a", "_b", "_za", "_zb")
+        out = written(met.mapInArrow(count_shingles, "_a long, _b long"))
+        discard(passed, used)
+        return out
 
     first = verified(pairs_of("_set", "_centre", live.where("_set <> _centre")))
     label = written(components(first.select(F.col("_a").alias("a"), F.col("_b").alias("b")), spark))
@@ -272,15 +317,17 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     step = math.log(100 / percent) / 4
     size_class = F.floor(F.log(F.col("_n").cast("double")) / step).cast("int")
     least_size = F.exp(F.col("_sc") * step) * (1 - 1e-9)
-    one = left.select("_t", F.col("_set").alias("x"), F.col("_k").alias("kx"), F.col("_n").alias("nx"), F.col("_rest").alias("rx"), F.explode(F.sequence(size_class - 5, size_class + 5)).alias("_sc"))
+    # and a long list is dealt in blocks, each of which meets what is left of the others
+    blocks = F.ceil(F.col("_c") / 1024).cast("int")
+    one = left.select("_t", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.col("_set").alias("x"), F.col("_k").alias("kx"), F.col("_n").alias("nx"), F.col("_rest").alias("rx"), F.sequence(size_class - 5, size_class + 5).alias("_sc")).withColumn("_sc", F.explode("_sc"))
     one = one.where(enough(F.least(F.col("rx").cast("double"), least_size * math.exp(step) + 1), F.col("nx"), least_size))
-    rest = tagged.where(F.col("_c") > short).select("_t", F.col("_set").alias("y"), F.col("_k").alias("ky"), F.col("_n").alias("ny"), F.col("_rest").alias("ry"), size_class.alias("_sc"))
-    far = one.join(rest, ["_t", "_sc"]).where((F.col("kx") != F.col("ky")) & enough(F.least("rx", "ry"), F.col("nx"), F.col("ny"))).select("x", "y")
+    rest = tagged.where(F.col("_c") > short).select("_t", F.pmod(F.xxhash64("_set"), blocks).cast("int").alias("_block"), F.col("_set").alias("y"), F.col("_k").alias("ky"), F.col("_n").alias("ny"), F.col("_rest").alias("ry"), size_class.alias("_sc"))
+    far = one.join(rest, ["_t", "_sc", "_block"]).where((F.col("kx") != F.col("ky")) & enough(F.least("rx", "ry"), F.col("nx"), F.col("ny"))).select("x", "y")
     second = verified(pairs_of("x", "y", near.unionByName(far)))
 
-    rep = sets.where(F.col("_id") != -(2**63)).select("_set", "_id")
+    rep = sets.where(key_doc_id().isNotNull()).select("_set", "_id")
     links = first.unionByName(second).join(rep.select(F.col("_set").alias("_a"), F.col("_id").alias("a")), "_a").join(rep.select(F.col("_set").alias("_b"), F.col("_id").alias("b")), "_b").select("a", "b")
-    same = members.where("_n > 0 and doc_id is not null").join(sets.select("_set", "_n", "_id"), ["_set", "_n"]).where("doc_id <> _id").select(F.col("doc_id").alias("a"), F.col("_id").alias("b"))
+    same = members.where("_n > 0 and doc_id is not null").join(sets.where(key_doc_id().isNotNull()).select("_set", "_n", "_id"), ["_set", "_n"]).where("doc_id <> _id").select(F.col("doc_id").alias("a"), F.col("_id").alias("b"))
     return members, links.unionByName(same)
 
 
@@ -291,7 +338,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     fewer words is one shingle, a null text or one without words has none and links with
     nothing.  Documents link when 100 * intersection >= ``percent`` * union; component_id is
     the smallest doc_id reachable.  Rows that repeat a doc_id are one node; rows with a null
-    doc_id link nothing and have a null component.  An empty table gives no rows.
+    doc_id link nothing and have a null component.  An empty table gives no rows; other columns
+    are not read; very long texts are hashed in pieces and counted whole.
     """
     members, links = ngram_links(docs, k, percent)
     group = components(links, docs.sparkSession)
@@ -304,7 +352,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     """The rows of ``docs``, all columns, of which each group of near copies keeps one.
 
     The document with the least doc_id of each component stays, and of rows that repeat its
-    doc_id the one with the least text hash; rows with a null doc_id stay.
+    doc_id the one with the least text hash; rows with a null doc_id stay, and so do texts
+    without a word.  An empty table gives no rows; columns of any name pass.
     """
     found = near_duplicates(docs, k, percent).where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
