@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, discard, written
 
 _DIM = 2048
-#: Rows of the sample that are in double precision at once while fitting.
+#: Rows that are in double precision at once while fitting and least distances are sought.
 _BLOCK = 512
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that are no ASCII letter become a blank; bytes of other letters stay.
@@ -101,70 +101,73 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_language_model(docs: DataFrame, per_language: int = 1500, sample_rows: int = 60_000, ridge: float = 1e-3) -> LanguageModel:
-    """Learn all languages, from at most ``per_language`` distinct texts of each.
+    """Learn all languages, from about ``per_language`` distinct texts of each.
 
-    With many languages each has ``sample_rows`` / languages texts, one at least.
+    With many languages each has about ``sample_rows`` / languages texts, or 20 if that is
+    more; a language with fewer distinct texts has them all, and each has one at least.  Rows
+    without text, lang or a letter, and held-out rows, are left out; repeated texts count once
+    a language; an empty table gives a model of no language; other columns are not read.
 
-    Rows without text or lang, and held-out rows, are left out.  The sample is taken by a
-    hash of the text; its features (2048 numbers a text), not its texts, reach the driver,
-    which adds them up in blocks.
+    The sample is taken by a hash of the text and written.  Its features stream through one
+    task, which keeps their normal equations and returns the solution: neither texts nor
+    features reach the driver.
     """
     rows = columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
+    rows = rows.select(F.col("lang").cast("string"), "text", F.xxhash64("text").alias("_h"))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n"), F.min("_h").alias("least")).collect()  # a row a language
+    languages = sorted(r["lang"] for r in kinds)
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((_DIM + 1, 1)), np.ones((0, 1)))
-    per_language = min(per_language, max(1, sample_rows // len(languages)))
-    # thinned by hash to 40 texts at least, so that no language is left without one
-    every = docs.sparkSession.createDataFrame([(lang, max(1, counts[lang] // (2 * max(20, per_language)))) for lang in languages], "lang string, _every long")
-    by_hash = Window.partitionBy("lang").orderBy("_h")
-    sample = (
-        rows.withColumn("_h", F.xxhash64("text"))
-        .join(F.broadcast(every), "lang")  # a row a language
-        .where(F.pmod("_h", "_every") == 0)
-        .groupBy("lang", "_h")
-        .agg(F.min("text").alias("text"))
-        .withColumn("_n", F.row_number().over(by_hash))
-        .where(F.col("_n") <= per_language)
-        .select("lang", "_h", "text")
-    )
+    per_language = min(per_language, max(20, sample_rows // len(languages)))
+    # a share of the distinct texts, not of the rows, so that a language of copies is not lost
+    share = [(r["lang"], r["least"], min(2**40, int(2**40 * per_language / max(1, r["n"])))) for r in kinds]
+    chosen = docs.sparkSession.createDataFrame(share, "lang string, _least long, _cut long")
+    sample = rows.join(F.broadcast(chosen) if len(share) <= 100_000 else chosen, "lang").where((F.pmod("_h", F.lit(2**40)) < F.col("_cut")) | (F.col("_h") == F.col("_least")))
+    sample = written(sample.groupBy("lang", "_h").agg(F.min("text").alias("text")))
+    counts = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    number = {lang: i for i, lang in enumerate(languages)}
+    code = codewords(len(languages))
+    total = sum(counts.values())
+    weight = np.array([total / len(languages) / counts[lang] for lang in languages])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [ngram_features(t).astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "h", "x"])
 
-    got = sample.mapInArrow(features, "lang string, h long, x binary").toArrow()
-    x = np.empty((got.num_rows, _DIM), dtype=np.float32)
-    at = 0
-    for chunk in got.column("x").chunks:
-        for value in chunk:
-            x[at] = np.frombuffer(value.as_buffer(), dtype=np.float32)
-            at += 1
-    number = {lang: i for i, lang in enumerate(languages)}
-    y, h = np.array([number[v] for v in got.column("lang").to_pylist()], dtype=int), got.column("h").to_numpy()
-    del got
-    # sums are taken in one order, so that equal samples give equal models
-    order = np.lexsort((h, y))
-    y = y[order]
-    code = codewords(len(languages))
-    share = np.bincount(y, minlength=len(languages)).clip(1)
-    weight = (len(y) / len(languages) / share[y])[:, None]
-    blocks = [slice(i, i + _BLOCK) for i in range(0, len(y), _BLOCK)]
-
-    def block(rows: slice) -> np.ndarray:
-        return np.hstack([x[order[rows]].astype(float), np.ones((len(order[rows]), 1))])
-
-    gram, target = ridge * len(y) * np.eye(_DIM + 1) / _DIM, np.zeros((_DIM + 1, code.shape[1]))
-    for rows in blocks:
-        xb = block(rows)
-        gram += xb.T @ (xb * weight[rows])
-        target += xb.T @ (code[y[rows]] * weight[rows])
-    weights = np.linalg.solve(gram, target)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(lo, _BLOCK)
+                x = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.float32).reshape(-1, _DIM)
+                yield np.hstack([x.astype(float), np.ones((len(x), 1))]), np.array([number[v] for v in part.column(0).to_pylist()])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, target = ridge * total * np.eye(_DIM + 1) / _DIM, np.zeros((_DIM + 1, code.shape[1]))
+        for x, y in blocks(batches):
+            w = x * weight[y][:, None]
+            gram += x.T @ w
+            target += w.T @ code[y]
+        yield pa.RecordBatch.from_arrays([pa.array([np.linalg.solve(gram, target).tobytes()], pa.binary())], ["w"])
+
+    shown = sample.mapInArrow(features, "lang string, h long, x binary")
+    # in one order, so that equal samples give equal models
+    one = shown.repartition(1).sortWithinPartitions("lang", "h").mapInArrow(solve, "w binary")
+    weights = np.frombuffer(one.collect()[0]["w"]).reshape(_DIM + 1, -1)
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for x, y in blocks(features(batches)):
+            hit = (x @ weights) * code[y] > 0
+            for c in np.unique(y):
+                seen[int(c)] = seen.get(int(c), 0) + hit[y == c].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([v.tolist() for v in seen.values()], pa.list_(pa.int64()))], ["c", "hits"])
+
     # a bit counts for a class by the share of the class's own texts on which it is right
-    right = np.vstack([np.empty((0, code.shape[1])), *[(block(rows) @ weights) * code[y[rows]] > 0 for rows in blocks]])
-    ends = np.searchsorted(y, np.arange(len(languages) + 1))
-    bit = np.array([right[i:j].mean(0) if i < j else np.ones(code.shape[1]) for i, j in zip(ends, ends[1:])]) + 1e-6
+    bit = np.full(code.shape, 1e-6)
+    for r in sample.mapInArrow(right, "c long, hits array<long>").toLocalIterator():
+        bit[r["c"]] += np.array(r["hits"]) / counts[languages[r["c"]]]
+    discard(sample)
     return LanguageModel(languages, code, weights, bit / bit.sum(1, keepdims=True))
 
 
@@ -172,7 +175,9 @@ def detect_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row, from its whole text.
 
     Null text, and text without a letter, gives ``und`` with score 0; so does every text if
-    the model has learned no language.  Repeated rows give repeated results.  No shuffle.
+    the model has learned no language.  Repeated rows give repeated results, an empty table
+    none; null doc_ids are not held out; other columns are not read; texts of any length are
+    read whole.  No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +199,8 @@ def detect_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with score ``least`` or more.
 
-    A row stays with its own columns, so nulls and repeated rows need no key.
+    A row stays with its own columns, whatever their names, so nulls and repeated rows need
+    no key.  Null text and text without a letter goes; an empty table gives no rows.
     """
     names, at = docs.columns, docs.columns.index("text")
 
