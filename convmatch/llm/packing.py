@@ -8,12 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, written
 
 _encodings: dict[str, object] = {}
+#: Weights of the residual tokens, documents and attention cost in the choice of a bin, each a
+#: share of its capacity.
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def _encoding(ranks_file: str):
@@ -127,10 +131,13 @@ def plan_bins(
                 groups.setdefault(state, []).append([first, n, offset])
 
         while left:
-            states = [s for s in groups if groups[s] and most(s) >= 1]
-            if not states:
+            states = list(groups)
+            open_bins = np.array(states, dtype=float).reshape(-1, len(used))
+            fits = np.flatnonzero((open_bins >= need).all(1))
+            if not len(fits):
                 break
-            residual = np.array(states) / size
+            states = [states[i] for i in fits]
+            residual = open_bins[fits] / size
             score = (w * (residual - demand) ** 2).sum(1) if choose == "norm" else -(w * residual * demand).sum(1)
             if choose == "norm":
                 # a bin that has just taken an item is the best for the next one
@@ -157,6 +164,30 @@ def plan_bins(
     return runs
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``_task`` and ``_place``, the rank among the task's pieces of that length.
+
+    To be written before use, so that a repeated task cannot number anew.
+    """
+    at = pieces.columns.index("length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            length, which, n = np.unique(batch.column(at).to_numpy(), return_inverse=True, return_counts=True)
+            place = np.empty(batch.num_rows, dtype=np.int64)
+            place[np.argsort(which, kind="stable")] = np.arange(batch.num_rows) - np.repeat(np.cumsum(n) - n, n)
+            place += np.array([seen.get(x, 0) for x in length.tolist()], dtype=np.int64)[which]
+            for x, c in zip(length.tolist(), n.tolist()):
+                seen[x] = seen.get(x, 0) + c
+            cols = [*batch.columns, pa.array(np.full(batch.num_rows, task, dtype=np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "_task", "_place"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    return pieces.mapInArrow(run, ", ".join([*kinds, "_task int", "_place long"]))
+
+
 def pack_pieces(
     pieces: DataFrame,
     capacity: int = 2048,
@@ -164,18 +195,22 @@ def pack_pieces(
     max_attention: int | None = None,
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     choose: str = "norm",
-    rows_per_block: int = 100_000,
 ) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, piece, length, ...).
 
     Only the histogram of lengths (at most ``capacity`` rows) reaches the driver, which makes
     the plan of :func:`plan_bins`; every piece then finds its place from its rank among the
-    pieces of its length.  Ranks are dealt in blocks of hash classes, so no task holds a
-    whole length.  The plan is broadcast: it has at most one row a length, with a run for
-    each kind of bin that the length went into.
+    pieces of its length: the number that its task gave it, after those of the tasks before.
+    No row is sorted or dealt by length alone, so no task holds a whole length, whatever ids
+    and lengths repeat.  The plan is broadcast: it has at most one row a length, with a run
+    for each kind of bin that the length went into, and does not grow with the pieces.
     """
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark, names = pieces.sparkSession, pieces.columns
+    rows = written(numbered(pieces))
+    sizes = rows.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_length: dict[int, list[tuple]] = {}
     for length, rank, items, first, per_bin, offset in plan_bins(counts, capacity, max_docs, max_attention, weights, choose):
         by_length.setdefault(length, []).append((rank, rank + items, first, per_bin, offset))
@@ -183,33 +218,42 @@ def pack_pieces(
         list(by_length.items()),
         "length long, runs array<struct<lo: long, hi: long, first: long, per_bin: long, at: long>>",
     )
-    blocks = max(1, -(-sum(counts.values()) // rows_per_block))
-    rows = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    sizes = rows.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")
     r = F.col("_rank")
     run = F.filter("runs", lambda x: (x["lo"] <= r) & (r < x["hi"]))[0]
     return (
-        rows.withColumn("_place", F.row_number().over(place))
-        .join(offsets, ["length", "_block"])
-        .withColumn("_rank", F.col("_before") + F.col("_place") - 1)
+        rows.join(offsets, ["length", "_task"])
+        .withColumn("_rank", F.col("_before") + F.col("_place"))
         .join(F.broadcast(plan), "length")
         .withColumn("_run", run)
         .select(
-            *[F.col(c) for c in pieces.columns],
+            *[F.col(c) for c in names],
             (F.col("_run.first") + F.floor((r - F.col("_run.lo")) / F.col("_run.per_bin"))).cast("long").alias("sequence_id"),
             (F.col("_run.at") + F.pmod(r - F.col("_run.lo"), F.col("_run.per_bin")) * F.col("length")).cast("long").alias("offset"),
         )
     )
 
 
-def pack_documents(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    ranks_file: str,
+    capacity: int = 2048,
+    end_id: int = 0,
+    with_ids: bool = False,
+    max_docs: int | None = None,
+    max_attention: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS,
+    choose: str = "norm",
+) -> DataFrame:
     """Tokenize and pack ``docs``: one row for each piece.
 
+    A sequence holds ``capacity`` tokens, ``max_docs`` pieces (default: ``capacity``) and an
+    attention cost, the sum of squared lengths, of ``max_attention`` (default: ``capacity``
+    squared).  The defaults are what tokens alone allow, so they make no more sequences, but
+    all three residuals choose the bin.
+
     Null text counts as empty (its one token is ``end_id``); repeated rows are packed once
-    each; documents longer than ``capacity`` are cut; an empty table gives no rows.  The
-    pieces are written once, so texts are tokenized once.
+    each, null doc_ids too; documents longer than ``capacity`` are cut; an empty table gives no
+    rows; other columns are not read.  The pieces are written once, so texts are tokenized once.
     """
-    return pack_pieces(written(token_pieces(docs, ranks_file, capacity, end_id, with_ids)), capacity)
+    limits = (max_docs or capacity, max_attention or capacity * capacity)
+    return pack_pieces(token_pieces(docs, ranks_file, capacity, end_id, with_ids), capacity, *limits, weights, choose)
