@@ -199,8 +199,8 @@ def candidate_top_users(vectors: DataFrame, k: int = 5, sample: int = 100, candi
         return pd.DataFrame({"user_id": a["user_id"].iloc[:1].to_numpy(), "other_id": a["other_id"].iloc[:1].to_numpy(), "similarity": [s.max(1).mean()]})
 
     mine = pairs.join(q, "user_id").select("user_id", "other_id", "v")
-    theirs = pairs.join(v.select(F.col("user_id").alias("other_id"), F.col("v").alias("w")), "other_id").select("user_id", "other_id", "w")
-    return top_users(mine.groupBy("user_id", "other_id").cogroup(theirs.groupBy("user_id", "other_id")).applyInPandas(exact, schema), k)
+    theirs = pairs.join(v.select(F.col("user_id").alias("other_id"), F.col("v").alias("w")), "other_id").select(F.col("user_id").alias("me"), F.col("other_id").alias("them"), "w")
+    return top_users(mine.groupBy("user_id", "other_id").cogroup(theirs.groupBy("me", "them")).applyInPandas(exact, schema), k)
 
 
 def mixed_threshold(hits: DataFrame, by: str, distance: str, limit: float) -> DataFrame:
