@@ -37,27 +37,6 @@ def test_substring_dedup_windows(spark, window, hot):
     assert key(got) == key(brute.repeats(rows, window))
 
 
-def test_very_long_texts(spark):
-    """A text of two megabytes, its near copy, and a word of one megabyte."""
-    long = prose(77, 250_000)
-    rows = [(1, long), (2, long[:-200]), (3, "x" * 1_000_000), (4, "y" * 1_000_000 + " end"), (5, prose(78, 60))]
-    df = spark.createDataFrame([(d, t, "en", "a") for d, t in rows], "doc_id long, text string, lang string, source string")
-    got = [tuple(x) for x in substring_dedup.remove_repeats(df, 35).collect()]
-    assert key(got) == key(brute.repeats(rows, 35))
-    got = [tuple(x) for x in jaccard_join.near_duplicates(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect()]
-    assert key(got) == key(brute.groups(rows, 4, 85))
-    import sentencepiece
-
-    path = queries.vocabulary("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    assert {r["doc_id"]: r["n_tokens"] for r in piece_codec.encode_documents(df, path).collect()} == {d: len(sp.encode(t)) + 2 for d, t in rows}
-    judged = {r["doc_id"]: r for r in quality_rules.judge_quality(df.where("doc_id > 2")).collect()}
-    assert judged[3]["n_words"] == 1 and judged[3]["base_failed"]
-    assert {r["lang_pred"] for r in language_id.detect_language(df, language_id.fit_language_model(df)).collect()} == {"en"}
-    assert sharding.shard_documents(df).count() == packing.pack_documents(df, queries.vocabulary("byte_bpe_50k.tiktoken")).select("doc_id").distinct().count() == 5
-    assert license_scan.scan_licenses(df).count() == 0
-
-
 def test_language_of_copies(spark):
     """A language whose rows are copies of a few texts is learned like others."""
     few = [" ".join(random.Random(i).choice(["zorp", "blim", "quax", "fnord"]) for _ in range(30)) for i in range(8)]
