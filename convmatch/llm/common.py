@@ -24,15 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts the lineage."""
+    """Write ``df`` to a table in the shared folder and read it back: cuts the lineage.
+
+    The table goes when the application ends, whether its jobs succeeded or not.
+    """
     path = f"{shared_dir(df.sparkSession)}/convmatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _at(df.sparkSession, path).delete_on_exit()
+    df.write.mode("append").parquet(path)
     _free(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 
 
+class _at:
+    """A path of the shared file system."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
+    def delete_on_exit(self) -> None:
+        # takes only what is there
+        self.fs.mkdirs(self.path)
+        self.fs.deleteOnExit(self.path)
+
+
 _freed = 0.0
 
 
@@ -48,9 +68,7 @@ def _free(spark: SparkSession, seconds: float = 3.0) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing reads any more, not even a plan not yet run."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _at(df.sparkSession, df._folder).delete()
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

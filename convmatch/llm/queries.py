@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, license_scan, packing, piece_codec, quality_model, quality_rules, sharding, substring_dedup
+from . import ann, fill_middle, html_extract, jaccard_join, language_id, license_scan, merkle, packing, piece_codec, quality_model, quality_rules, sharding, substring_dedup
 from .common import table
 
 
@@ -60,14 +60,31 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_license_scan,
         op6_quality_classifier, op7_nearest_neighbours, op8_ngram_jaccard_join, op9_quality_rules, op10_piece_codec,
+        op11_fill_in_middle, op12_html_extraction, op13_merkle_manifest,
     )
 }
 
-#: The other operators learn, hash or tokenize, which SQL cannot express: tests/llm holds them
+#: The other operators learn, hash, parse or tokenize, which SQL cannot express: tests/llm holds them
 #: against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle(),
+    "op11_fill_in_middle": fill_middle.oracle(),
+    "op13_merkle_manifest": merkle.oracle(),
+}
