@@ -59,7 +59,7 @@ def is_secret(word: Column) -> Column:
 def redact_secrets(c: Column) -> Column:
     """Replace random-looking words; white space collapses only where one is found."""
     words = F.split(c, r"[ \t\n\x0b\f\r]+")
-    hidden = F.transform(words, lambda w: F.when(is_secret(w), "[redacted]").otherwise(w))
+    hidden = F.transform(words, lambda w: F.when(is_secret(w), "[redacted high entropy]").otherwise(w))
     return F.when(F.exists(words, is_secret), F.array_join(hidden, " ")).otherwise(c)
 
 

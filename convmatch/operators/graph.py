@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +28,35 @@ def known_edges(edges: DataFrame, nodes: DataFrame, node: str, attrs: list[str])
     return edges.join(a, "src").join(b, "dst")
 
 
-def shortest_path(edges: DataFrame, start: object, goal: object, save: Callable[[DataFrame], DataFrame], most: int = 50) -> DataFrame:
-    """(step, node) of one shortest path; of several the one with the least predecessors.
+def shortest_path(edges: DataFrame, start: object, goal: object, save: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """(step, node) of one shortest path, of several the one with the least predecessors; empty
+    where the goal cannot be reached, or not in ``most`` steps if that is given.
 
     Breadth-first rounds: each joins the frontier with the edges and keeps the least
-    predecessor of every new node; the way back takes one join a step.
+    predecessor of every new node.  Each round's nodes are a table of their own, so a round
+    reads no more than the frontier, the edges and the nodes seen.  The way back goes through
+    the rounds' tables, one predecessor in each.
     """
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
+    e = save(edges.select("src", "dst").distinct())
     kind = dict(e.dtypes)["src"]
-    seen = save(spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(None).cast(kind).alias("pred"), F.lit(0).alias("step")))
-    for step in range(1, most + 1):
-        if not seen.where(F.col("node") == F.lit(goal)).isEmpty():
+    start_, goal_ = F.lit(start).cast(kind), F.lit(goal).cast(kind)
+    rounds = [save(spark.range(1).select(start_.alias("node"), F.lit(None).cast(kind).alias("pred")))]
+    found, seen, merged = not rounds[0].where(F.col("node") == goal_).isEmpty(), rounds[0].select("node"), 1
+    while not found and (most is None or len(rounds) <= most):
+        front = rounds[-1].select(F.col("node").alias("src"))
+        new = e.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
+        if len(rounds) - merged >= 16:  # few tables to read, each row written anew once in 16 rounds
+            seen, merged = save(reduce(DataFrame.unionByName, [r.select("node") for r in rounds[merged:]], seen)), len(rounds)
+        known = reduce(DataFrame.unionByName, [r.select("node") for r in rounds[merged:]], seen)
+        rounds.append(save(new.join(known, "node", "left_anti")))
+        if rounds[-1].isEmpty():
             break
-        front = seen.where(F.col("step") == step - 1)
-        new = e.join(front, e["src"] == front["node"]).groupBy("dst").agg(F.min("src").alias("pred"))
-        new = save(new.join(seen, new["dst"] == seen["node"], "left_anti").select(F.col("dst").alias("node"), "pred", F.lit(step).alias("step")))
-        if new.isEmpty():
-            return seen.limit(0).select("step", "node")
-        seen = save(seen.unionByName(new))
-    path = save(seen.where(F.col("node") == F.lit(goal)))
-    at = path
-    while not at.where("pred is not null").isEmpty():
-        at = save(seen.join(at.select(F.col("pred").alias("node")), "node").select(*seen.columns))
-        path = path.unionByName(at)
-    return path.select("step", "node")
+        found = not rounds[-1].where(F.col("node") == goal_).isEmpty()
+    if not found:
+        return spark.createDataFrame([], f"step int, node {kind}")
+    path, node = [], goal
+    for step in range(len(rounds) - 1, -1, -1):
+        path.append((step, node))
+        node = rounds[step].where(F.col("node") == F.lit(node).cast(kind)).first()["pred"]
+    return spark.createDataFrame(path, f"step int, node {kind}")

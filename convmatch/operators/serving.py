@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .versions import Snapshot, Versions
+
 
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``target`` and the first source row (by ``order``) of every key that it lacks."""
@@ -70,26 +72,17 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
-def swap_tables(staged: dict[str, DataFrame], root: str, run: str) -> dict[str, str]:
-    """Write every table to ``root/run``; only when all are there does ``root/current`` name the
-    run, in one rename, so that readers of :func:`current_table` see all new tables or none."""
-    paths = {}
-    for name, df in staged.items():
-        paths[name] = f"{root}/{run}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
-    spark = next(iter(staged.values())).sparkSession
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").text(f"{root}/{run}/_name")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    here, new = hadoop.Path(f"{root}/current"), hadoop.Path(f"{root}/{run}/_name")
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(here, True)
-    fs.rename(new, here)
-    return paths
+def swap_tables(staged: dict[str, DataFrame], root: str) -> Snapshot:
+    """Write every table and publish all in one version, from any number of writers: readers of
+    :func:`current_table`, or of the snapshot they took, see all new tables or none."""
+    versions = Versions(next(iter(staged.values())).sparkSession, root)
+    paths = {name: [versions.stage(name, df)] for name, df in staged.items()}
+    return versions.update(lambda base: {"tables": paths})
 
 
 def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the run that was published last."""
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/current').first()[0]}/{name}")
+    """A table of the version that was published last."""
+    return Versions(spark, root).current().table(name)
 
 
 def valid_paths(paths: DataFrame, lists: tuple[str, ...] = ("common", "user1", "user2"), users: tuple[str, ...] = ("user1_id", "user2_id")) -> DataFrame:

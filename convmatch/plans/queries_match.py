@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import balance, cluster, graph, paths, scoring, serving, similarity
+from ..operators import balance, cluster, graph, paths, scoring, serving, similarity, vector_index, versions
 from . import views
 from .views import MATCHES, MEMBERS, PATHS, SIDES, SIMS, USER_VEC, USERS, t, user_vec
 
@@ -87,6 +89,17 @@ def v7(spark, sf):
     return similarity.bucket_nearest(q, c, 30).withColumn("d", F.round("d", 6))
 
 
+@query("v7_index_nearest")
+def v7_index(spark, sf):
+    """Approximate neighbours by cosine through a kept index: half of the vectors built, half inserted."""
+    u = user_vec(spark, sf).select(F.col("conversation_id").alias("id"), F.col("user_id").alias("user"), "v")
+    home = versions.Versions(spark, f"{views.shared_root(spark)}/index-{uuid.uuid4().hex}")
+    vector_index.VectorIndex.build(home, u.where("id % 2 = 0"))
+    index = vector_index.VectorIndex.insert(home, u.where("id % 2 = 1"))
+    q, _ = _knn_inputs(spark, sf, 50)
+    return index.search(q, 30).select("q_id", "rank", "c_id", F.round("score", 6).alias("score"))
+
+
 @query("v8_user_similarity", f"WITH {SIMS} SELECT user_id, other_id, round(similarity, 6) AS similarity FROM sims")
 def v8(spark, sf):
     return similarity.user_similarity(user_vec(spark, sf)).withColumn("similarity", F.round("similarity", 6))
@@ -514,9 +527,11 @@ def d2(spark, sf):
     return serving.upsert(a, b, ["o_orderkey"], keep=("o_custkey",))
 
 
-@query("d3_already_embedded", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
+@query("d3_already_embedded", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 3 = 0)")
 def d3(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    """Documents without a stored vector; every third vector is stored, as in v17_reuse_embedding."""
+    stored = t(spark, sf, "embeddings").where("embedding is not null and vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"))
+    return t(spark, sf, "documents").select("doc_id").join(stored, "doc_id", "left_anti")
 
 
 @query("d4_skip_empty", "SELECT conv_id, turn FROM conversations WHERE length(text) > 0")

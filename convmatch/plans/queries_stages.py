@@ -297,8 +297,8 @@ def d5(spark, sf):
 @query("d13_swapped_tables", "SELECT o_orderkey, o_totalprice + 1 AS price FROM orders")
 def d13(spark, sf):
     root, o = folder(spark), t(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    serving.swap_tables({"orders": o, "prices": o.select("price")}, root, "first")
-    serving.swap_tables({"orders": o.withColumn("price", F.col("price") + 1), "prices": o.select("price")}, root, "second")
+    serving.swap_tables({"orders": o, "prices": o.select("price")}, root)
+    serving.swap_tables({"orders": o.withColumn("price", F.col("price") + 1), "prices": o.select("price")}, root)
     return serving.current_table(spark, root, "orders")
 
 

@@ -133,7 +133,7 @@ def r3_words(spark, sf):
 
 @query("r4_redact_secrets", f"""WITH w AS (SELECT doc_id, text, regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents),
   h AS (SELECT *, list_transform(ws, lambda s: length(s) >= 23 AND {_sql_entropy('s')} > 4.5) AS hit FROM w)
-  SELECT doc_id, CASE WHEN list_contains(hit, true) THEN array_to_string(list_transform(ws, lambda s, i: CASE WHEN hit[i] THEN '[redacted]' ELSE s END), ' ')
+  SELECT doc_id, CASE WHEN list_contains(hit, true) THEN array_to_string(list_transform(ws, lambda s, i: CASE WHEN hit[i] THEN '[redacted high entropy]' ELSE s END), ' ')
   ELSE text END AS text FROM h""")
 def r4(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
