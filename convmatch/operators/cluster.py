@@ -9,6 +9,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .density import density_clusters
+from .tables import saver
+
 
 def reduce_dimensions(df: DataFrame, v: str, k: int = 100) -> tuple[DataFrame, list[float]]:
     """PCA to min(k, dim, n - 2) components, one fit for all rows; and the variance shares."""
@@ -90,42 +93,6 @@ def ward_clusters(df: DataFrame, by: list[str], key: str, v: str, k: int | None
     return df.select(*by, key, v).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", label long")
 
 
-def density_clusters(df: DataFrame, by: list[str], key: str, v: str, least: int = 5, quantile: float = 0.5) -> DataFrame:
-    """One-level density clusters in each (bounded) group: by, key, label.
-
-    Core distance is the distance to the ``least``-th neighbour; points whose mutual
-    reachability is within the ``quantile`` of core distances are connected; components under
-    ``least`` are dropped, and their points take the label of the nearest clustered point.
-    Without any component all are label 0.
-    """
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values(key, kind="stable")
-        x = np.stack(pdf[v].to_numpy()).astype(float)
-        n = len(x)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
-        core = np.sort(d, axis=1)[:, min(least, n) - 1]
-        reach = np.maximum(d, np.maximum(core[:, None], core[None])) <= np.quantile(core, quantile) * (1 + 1e-12)
-        label = np.arange(n)
-        while True:
-            new = np.where(reach, label[None], n).min(1)
-            new = np.minimum(new, label)
-            if (new == label).all():
-                break
-            label = new
-        big = np.flatnonzero(np.bincount(label, minlength=n) >= least)
-        if len(big) == 0:
-            out = np.zeros(n, dtype=int)
-        else:
-            inside = np.isin(label, big)
-            near = np.where(inside[None], d, np.inf).argmin(1)
-            out = np.searchsorted(big, label[np.where(inside, np.arange(n), near)])
-        return pdf[[*by, key]].assign(label=out.astype("int64"))
-
-    return df.select(*by, key, v).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", label long")
-
-
 #: Conversations of a user that take part in matching: the newest (fixed value).
 NEWEST = 1500
 
@@ -178,13 +145,13 @@ def membership(members: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.join(vectors.select("user_id", "conversation_id", F.col("v").alias("embedding")), ["user_id", "conversation_id"], "left").orderBy("current_user_id", "cluster_id", "user_id", "conversation_id")
 
 
-def message_clusters(messages: DataFrame, by: list[str], key: str, ts: str, text: str, least: int = 5) -> DataFrame:
+def message_clusters(messages: DataFrame, by: list[str], key: str, ts: str, text: str, least: int = 5, save: saver | None = None) -> DataFrame:
     """Density clusters of messages on (time, compression ratio), each scaled to unit deviation
-    within its series; ``by`` must bound a series, as a day of one conversation does."""
+    within its series, which may be of any length."""
     from ..functions.text import compression_ratio
 
     w = Window.partitionBy(*by)
     d = messages.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).withColumn("_r", F.coalesce(compression_ratio(F.col(text)), F.lit(0.0)))
     unit = lambda c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0))
     d = d.withColumn("_v", F.array(unit("_t"), unit("_r")))
-    return density_clusters(d, by, key, "_v", least)
+    return density_clusters(d, by, key, "_v", least, save)

@@ -16,7 +16,7 @@ def clustered_members(top: DataFrame, vectors: DataFrame, dimensions: int = 100,
     in each match group, numbers over a user's groups.  ``vectors``: user_id, conversation_id, v."""
     reduced, _ = cluster.reduce_dimensions(vectors, "v", dimensions)
     members = cluster.match_members(top, reduced.select("user_id", "conversation_id", "v", "reduced"))
-    labels = cluster.density_clusters(members, GROUP, "conversation_id", "reduced", least)
+    labels = cluster.density_clusters(members, GROUP, "conversation_id", "reduced", least).drop("strength")
     return cluster.number_clusters(members.join(labels, [*GROUP, "conversation_id"]))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_object
 from .balance import apply_scaler, fit_scaler, imbalance
+from .tables import saver
 
 # fixed values: ratios, limits, the keys of an answer and the default title
 CATEGORY_RATIOS = {"research": 0.4, "humanistic": 0.4, "practical": 0.2, "coding": 0.0}
@@ -202,21 +202,3 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
         return paths
     return paths, errors if errors is not None else spark.createDataFrame([], ERROR_SCHEMA)
 
-
-class saver:
-    """Written tables under ``root``, a folder that all executors share."""
-
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/rounds-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._folder = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this saver that no plan reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_root
+
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares: the checkpoint folder, or the warehouse where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/convmatch"
-
-
 def user_vec(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "embeddings").where("embedding is not null").selectExpr(
         "vec_id % 20 as user_id", "vec_id as conversation_id", "cast(embedding as array<double>) as v", "cast(label as bigint) as label"
