@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,6 +48,19 @@ def tfidf_embedding(df: DataFrame, text: str, dim: int = 256) -> DataFrame:
     return d.withColumn("embedding", vector_to_array("_n")).drop("_w", "_tf", "_idf", "_n")
 
 
+def hashed_words(texts: list[str], dim: int = 64) -> list[list[float]]:
+    """Built-in embedder of single texts: signed counts of hashed words, unit length."""
+    out = []
+    for text in texts:
+        v = [0.0] * dim
+        for word in re.findall(r"\w+", text.lower()):
+            h = zlib.crc32(word.encode())
+            v[h % dim] += 1.0 if h & 0x80000000 else -1.0
+        n = sum(x * x for x in v) ** 0.5
+        out.append([x / n for x in v] if n else [1.0] + v[1:])
+    return out
+
+
 def complete(df: DataFrame, prompt: str, scorer: Scorer, answer: str = "answer", error: str | None = None, batch: int = 20) -> DataFrame:
     """Add ``answer`` (and ``error``, the reason of a failed call), row by row beside its key.
 

@@ -63,14 +63,15 @@ class VectorIndex:
     # -- building and opening
 
     @classmethod
-    def build(cls, versions: Versions, vectors: DataFrame, recall: float = 0.95, k: int = 30, lists: int | None = None) -> VectorIndex:
+    def build(cls, versions: Versions, vectors: DataFrame, recall: float = 0.95, k: int = 30, lists: int | None = None, dim: int | None = None) -> VectorIndex:
         """Fit, code and publish ``vectors`` (id, user, v).
 
         As many lists are probed as give ``recall`` of the ``k`` nearest, measured exactly on at
-        most 200 of the vectors against all.
+        most 200 of the vectors against all.  ``dim`` is the vectors' length, by default the longest's;
+        to start without vectors it has to be given.
         """
         spark = vectors.sparkSession
-        dim = vectors.where("v is not null").select(F.max(F.size("v"))).first()[0] or 1
+        dim = dim or vectors.where("v is not null").select(F.max(F.size("v"))).first()[0] or 1
         first = Snapshot(spark, tables={"v": [versions.stage("vectors", usable(vectors, dim).withColumn("_segment", F.lit(0)))]})
         unit = first.table("v", VECTORS)
         rows = unit.count()
@@ -208,7 +209,7 @@ class VectorIndex:
             zero = F.lit(0).alias("_segment")
             codes = index.live("codes", CODES).drop("_segment").select("*", zero).repartition("list").sortWithinPartitions("list")
             vectors = index.live("vectors", VECTORS).drop("_segment").select("*", zero)
-            return {"tables": {"codes": [versions.stage("codes", codes)], "vectors": [versions.stage("vectors", vectors)], "gone": []}, "meta": {"segments": 1}}
+            return {"tables": {"codes": [versions.stage("codes", codes)], "vectors": [versions.stage("vectors", vectors)], "gone": []}}
 
         return VectorIndex.open(versions.update(change))
 

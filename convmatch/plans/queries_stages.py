@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assemble, balance, cluster, graph, match_run, paths, scoring, series, serving
+from ..operators import assemble, balance, cluster, graph, match_run, paths, scoring, series, serving, versions
 from ..sources import exports
+from ..streaming import live
 from . import queries_match as M
 from . import views
 from .queries_match import GROUP, IDS, ROWS, _ids, _members
@@ -311,6 +312,25 @@ def d20(spark, sf):
 
 
 
+@query("z8_live_hits")
+def z8(spark, sf):
+    """Conversations with odd ids come as a stream over the even ones: each one's hits among other users'."""
+    c = t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("conversation_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    c = c.select(
+        (F.col("conversation_id") % 20).alias("user_id"), "conversation_id", F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("title"),
+        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), F.timestamp_seconds("conversation_id").alias("ts"),
+    )
+    root = folder(spark)
+    c.where("conversation_id % 2 = 1").write.parquet(f"{root}/arrivals")
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    served = scoring.embed(c.where("conversation_id % 2 = 0").withColumn("_t", text), "_t", scoring.hashed_words).select(*live.COLUMNS, "embedding")
+    states = spark.createDataFrame([], "conversation_id long, status string, content_hash long")
+    tables = live.LiveTables(versions.Versions(spark, f"{root}/tables"), scoring.hashed_words)
+    tables.start(served, states, dim=64)
+    tables.run(spark.readStream.schema(c.schema).parquet(f"{root}/arrivals"), f"{root}/checkpoint").awaitTermination()
+    return tables.hits().select("q_id", "rank", "c_id", "c_user", F.round("distance", 6).alias("distance"), "meets")
+
+
 def _category_of(prompts: list[str]) -> list[str]:
     """A rule in place of a model: the category by the number of summaries that are named."""
     names = ("research", "humanistic", "practical")
