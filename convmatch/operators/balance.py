@@ -32,10 +32,13 @@ def fit_scaler(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
 
 
+def scaled_sum(metrics: list[str]) -> Column:
+    """Sum of the metrics, each scaled by the columns of :func:`fit_scaler`."""
+    return sum((F.when(F.col(f"sd_{m}") > 1e-12, (F.col(m) - F.col(f"mean_{m}")) / F.col(f"sd_{m}")).otherwise(0.0) for m in metrics), F.lit(0.0))
+
+
 def apply_scaler(df: DataFrame, scaler: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    d = df.join(scaler, by)
-    score = sum((F.when(F.col(f"sd_{m}") > 1e-12, (F.col(m) - F.col(f"mean_{m}")) / F.col(f"sd_{m}")).otherwise(0.0) for m in metrics), F.lit(0.0))
-    return d.withColumn("score", score)
+    return df.join(scaler, by).withColumn("score", scaled_sum(metrics))
 
 
 def histogram(df: DataFrame, x: str, by: list[str], bins: int = 20) -> DataFrame:

@@ -45,11 +45,11 @@ def match_run(vectors: DataFrame, summaries: DataFrame, questions: DataFrame, ca
     else:
         top = similarity.candidate_top_users(vectors, k, candidates=candidates)
     top = save(top.select("user_id", "other_id", "similarity", "match_group_id"))
-    members = clustered_members(top, vectors).join(summaries, ["user_id", "conversation_id"], "left").drop("v", "reduced")
+    members = clustered_members(top, vectors).join(summaries, ["user_id", "conversation_id"], "left").drop("reduced")
     members = save(members)
     members = members.join(categories(members, categorise), [*GROUP, "cluster_id"], "left").withColumn("category", F.coalesce("category", F.lit("practical")))
     rows = paths.with_questions(paths.rows_of_sides(members), questions)
-    rows = save(rows.select(*GROUP, "cluster_id", "category", "row_idx", "user_id", "conversation_id", "mine", "title", "summary", "date_text", "questions"))
+    rows = save(rows.select(*GROUP, "cluster_id", "category", "row_idx", "user_id", "conversation_id", "mine", "title", "summary", "date_text", "questions", "v"))
     found, errors = paths.discover_paths(rows, lambda d: scoring.complete(d, "prompt", connect, error="error"), save, total=total, with_errors=True)
     served, _ = paths.to_conversations(paths.drop_repeated_ids(found, GROUP), rows, GROUP)
     served = save(serving.valid_paths(served, users=("current_user_id", "other_user_id")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_object
-from .balance import apply_scaler, fit_scaler, imbalance
+from .balance import fit_scaler, imbalance, matched_distance, scaled_sum
 from .tables import saver
 
 # fixed values: ratios, limits, the keys of an answer and the default title
@@ -124,13 +124,16 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
     """Greedy path discovery for all users and match groups, round by round.
 
     ``rows`` (current_user_id, match_group_id, cluster_id, category, row_idx, user_id,
-    conversation_id, mine, title, summary, date_text).  Each round chooses, for every match
-    group, the cluster with the lowest score, asks ``scorer`` (adds ``answer`` to rows with
-    ``prompt``), parses, takes every named id out of the group's pool, also those of rejected
+    conversation_id, mine, title, summary, date_text, and v, the vectors).  Each round chooses, for
+    every match group, the cluster with the lowest score, asks ``scorer`` (adds ``answer`` to rows
+    with ``prompt``), parses, takes every named id out of the group's pool, also those of rejected
     answers, and goes on until quotas, the budget of calls per user, or clusters end.  A
-    cluster is asked again at most ``retries`` times without gain.  Scaling is fitted once for
-    each category, on what earlier categories left.  ``save`` writes a table and reads it
-    back, so a lost executor does not rerun rounds; state tables that nothing reads any more go.
+    cluster is asked again at most ``retries`` times without gain.
+
+    The score is the sum of the scaled imbalance and, where there are vectors, the scaled distance
+    of the optimal matching of both sides.  Scaling is fitted once for each category, on what
+    earlier categories left; both metrics are made anew only where the pool changed.  A round writes
+    two tables, the answers and the clusters' state, so a lost executor repeats one round.
 
     A match group whose call fails does not stop the others: it is tried again like a rejected
     answer.  With ``with_errors`` returns (paths, errors): current_user_id, match_group_id,
@@ -139,66 +142,79 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
     """
     spark = rows.sparkSession
     group = ["current_user_id", "match_group_id"]
+    one = [*group, "cluster_id"]
     rows = save(rows)
-    pool, used, paths, errors = rows, None, None, None
+    metrics = ["imbalance", "dist"] if "v" in rows.columns else ["imbalance"]
+
+    def measured(pool: DataFrame, with_distance: DataFrame | None = None) -> DataFrame:
+        """Sizes of the clusters in ``pool`` and the distance of those in ``with_distance``, or of all."""
+        sizes = pool.groupBy(*one).agg(F.count_if("mine").alias("n1"), F.count_if(~F.col("mine")).alias("n2"))
+        if "dist" not in metrics:
+            return sizes
+        near = pool if with_distance is None else pool.join(with_distance, one, "left_semi")
+        return sizes.join(matched_distance(near.select(*one, "mine", "v"), one, "mine"), one, "left")
+
+    start = rows.groupBy(*one).agg(F.min("category").alias("category"), F.min(F.when(~F.col("mine"), F.col("user_id"))).alias("other_user_id"))
+    zero = {c: F.lit(0).cast("long") for c in ("tries", "total", "n", "calls")}
+    state = save(start.join(measured(rows), one).withColumns(zero).withColumn("imbalance", imbalance(F.nullif("n1", F.lit(0)), F.nullif("n2", F.lit(0)))))
+    told: list[DataFrame] = []
 
-    def replace(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    def answers() -> DataFrame:
+        return spark.read.schema(told[0].schema).parquet(*[x._folder for x in told])
+
+    def following(new: DataFrame, old: DataFrame) -> DataFrame:
         out = save(new)
-        if old is not None and old is not rows:
-            save.drop(old)
+        save.drop(old)
         return out
 
-    asked = save(rows.select(*group, "cluster_id").distinct().withColumn("tries", F.lit(0)))
-    calls = save(rows.select("current_user_id").distinct().withColumn("calls", F.lit(0)))
-    counts = save(rows.select(*group).distinct().withColumn("total", F.lit(0)))
-    other = rows.where("not mine").groupBy(*group, "cluster_id").agg(F.min("user_id").alias("other_user_id"))
     for category, ratio in sorted((ratios or CATEGORY_RATIOS).items(), key=lambda x: (-x[1], x[0])):
         if ratio <= 0:
             continue
         want = -(-round(ratio * total * 1e9) // 10**9)
-        scaler, done = None, save(counts.select(*group).withColumn("n", F.lit(0)))
+        own = (F.col("category") == category) & (F.col("n1") > 0) & (F.col("n2") > 0)
+        scaler = fit_scaler(state.where(own), group, metrics)
+        names = [c for c in scaler.columns if c not in group]
+        state = following(state.drop(*names).join(scaler, group, "left").withColumn("n", zero["n"]), state)
         for turn in range(total * (retries + 1)):
-            sizes = pool.where(F.col("category") == category).groupBy(*group, "cluster_id").agg(F.count_if("mine").alias("n1"), F.count_if(~F.col("mine")).alias("n2"))
-            sizes = sizes.where("n1 > 0 and n2 > 0").withColumn("imbalance", imbalance(F.col("n1"), F.col("n2")))
-            if scaler is None:
-                scaler = save(fit_scaler(sizes, group, ["imbalance"]))
-            live = sizes.join(asked.where(F.col("tries") <= retries), [*group, "cluster_id"]).join(counts.where(F.col("total") < total), group).join(done.where(F.col("n") < want), group)
-            scored = apply_scaler(live, scaler, group, ["imbalance"])
-            w = Window.partitionBy(*group).orderBy("score", "cluster_id")
-            chosen = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*group, "cluster_id")
+            live = state.where(own & (F.col("tries") <= retries) & (F.col("total") < total) & (F.col("n") < want))
+            best = Window.partitionBy(*group).orderBy(F.round(scaled_sum(metrics), 9), "cluster_id")
             left = Window.partitionBy("current_user_id").orderBy("match_group_id")
-            chosen = chosen.join(calls, "current_user_id").withColumn("_n", F.row_number().over(left)).where(F.col("_n") + F.col("calls") <= budget).select(*group, "cluster_id")
-            chosen = save(chosen)
-            if chosen.isEmpty():
+            chosen = live.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+            chosen = chosen.withColumn("_n", F.row_number().over(left)).where(F.col("_n") + F.col("calls") <= budget)
+            used = answers().select(*group, F.explode(F.concat("common", "user1", "user2")).alias("row_idx")).distinct() if told else None
+            pool = rows.join(used, [*group, "row_idx"], "left_anti") if told else rows
+            sides = side_text(pool.join(chosen.select(*one), one, "left_semi"), [*one, "mine"], ["row_idx"])
+            both = sides.groupBy(*one).agg(F.max(F.when(F.col("mine"), F.col("block"))).alias("b1"), F.max(F.when(~F.col("mine"), F.col("block"))).alias("b2"))
+            asked = scorer(both.select(*one, path_prompt(F.col("b1"), F.col("b2")).alias("prompt")))
+            why = F.col("error") if "error" in asked.columns else F.lit(None).cast("string")
+            got = asked.withColumn("a", parse_answer(F.col("answer"))).select(*one, why.alias("reason"), "a.*")
+            got = save(got.join(chosen.select(*one, "other_user_id", "category", F.col("total").alias("path_seq")), one).withColumn("round", F.lit(turn)))
+            if got.isEmpty():
+                save.drop(got)
                 break
-            sides = side_text(pool.join(chosen, [*group, "cluster_id"]), [*group, "cluster_id", "mine"], ["row_idx"])
-            both = sides.groupBy(*group, "cluster_id").agg(F.max(F.when(F.col("mine"), F.col("block"))).alias("b1"), F.max(F.when(~F.col("mine"), F.col("block"))).alias("b2"))
-            told = scorer(both.select(*group, "cluster_id", path_prompt(F.col("b1"), F.col("b2")).alias("prompt")))
-            why = F.col("error") if "error" in told.columns else F.lit(None).cast("string")
-            got = save(told.withColumn("a", parse_answer(F.col("answer"))).select(*group, "cluster_id", why.alias("reason"), "a.*"))
-            if with_errors:
-                bad = got.where("not ok").select(*group, "cluster_id", F.lit(category).alias("category"), F.lit(turn).alias("round"), F.coalesce("reason", F.lit("rejected answer")).alias("reason"))
-                errors = replace(errors, bad if errors is None else errors.unionByName(bad))
+            told.append(got)
             named = got.select(*group, F.explode(F.concat("common", "user1", "user2")).alias("row_idx")).distinct()
-            used = replace(used, named if used is None else used.unionByName(named).distinct())
-            pool = replace(pool, rows.join(used, [*group, "row_idx"], "left_anti"))
-            accepted = got.where("ok").join(other, [*group, "cluster_id"]).join(counts, group).withColumn("path_seq", F.col("total").cast("long"))
-            key = F.sha2(F.concat_ws("|", "current_user_id", "match_group_id", "cluster_id", "path_seq"), 256)
-            new = accepted.select(
-                key.alias("path_id"), "current_user_id", "other_user_id", "match_group_id", F.col("cluster_id").cast("long"), F.lit(category).alias("category"), "path_seq", "title",
-                "common", "user1", "user2", (F.size("user1") + F.size("common")).alias("len_user1"), (F.size("user2") + F.size("common")).alias("len_user2"), "background", "is_sensitive",
-            )
-            paths = replace(paths, new if paths is None else paths.unionByName(new))
-            gain = got.where("ok").select(*group).withColumn("g", F.lit(1))
-            counts = replace(counts, counts.join(gain, group, "left").select(*group, (F.col("total") + F.coalesce("g", F.lit(0))).alias("total")))
-            done = replace(done, done.join(gain, group, "left").select(*group, (F.col("n") + F.coalesce("g", F.lit(0))).alias("n")))
-            tried = chosen.join(gain, group, "left").select(*group, "cluster_id", F.when(F.col("g").isNull(), 1).otherwise(0).alias("t"))
-            asked = replace(asked, asked.join(tried, [*group, "cluster_id"], "left").select(*group, "cluster_id", (F.col("tries") + F.coalesce("t", F.lit(0))).alias("tries")))
-            calls = replace(calls, calls.join(chosen.groupBy("current_user_id").agg(F.count(F.lit(1)).alias("c")), "current_user_id", "left").select("current_user_id", (F.col("calls") + F.coalesce("c", F.lit(0))).cast("int").alias("calls")))
-            for old in (chosen, got):
-                save.drop(old)
-    paths = paths if paths is not None else spark.createDataFrame([], PATH_SCHEMA)
-    if not with_errors:
-        return paths
-    return paths, errors if errors is not None else spark.createDataFrame([], ERROR_SCHEMA)
-
+            changed = rows.join(named, [*group, "row_idx"], "left_semi").select(*one).distinct()
+            rest = rows.join(changed, one, "left_semi").join(answers().select(*group, F.explode(F.concat("common", "user1", "user2")).alias("row_idx")).distinct(), [*group, "row_idx"], "left_anti")
+            fresh = changed.join(measured(rest), one, "left").select(*one, *[F.col(c).alias(f"_{c}") for c in ("n1", "n2", *metrics[1:])], F.lit(True).alias("_changed"))
+            gain = got.groupBy(*group).agg(F.count_if("ok").alias("_gain"))
+            tried = got.select(*one, F.when(F.col("ok"), 0).otherwise(1).alias("_tried"))
+            called = got.groupBy("current_user_id").agg(F.count(F.lit(1)).alias("_called"))
+            nxt = state.join(fresh, one, "left").join(tried, one, "left").join(gain, group, "left").join(called, "current_user_id", "left")
+            plus = {c: F.col(c) + F.coalesce(d, F.lit(0)) for c, d in (("tries", "_tried"), ("total", "_gain"), ("n", "_gain"), ("calls", "_called"))}
+            size = {c: F.when(F.col("_changed"), F.coalesce(f"_{c}", F.lit(0))).otherwise(F.col(c)) for c in ("n1", "n2")}
+            apart = {c: F.when(F.col("_changed"), F.col(f"_{c}")).otherwise(F.col(c)) for c in metrics[1:]}
+            nxt = nxt.withColumns(plus | size | apart).select(*state.columns).withColumn("imbalance", imbalance(F.nullif("n1", F.lit(0)), F.nullif("n2", F.lit(0))))
+            state = following(nxt, state)
+    if not told:
+        paths, errors = spark.createDataFrame([], PATH_SCHEMA), spark.createDataFrame([], ERROR_SCHEMA)
+        return (paths, errors) if with_errors else paths
+    every = answers()
+    seq = F.col("path_seq")
+    key = F.sha2(F.concat_ws("|", *one, seq), 256)
+    paths = every.where("ok").select(
+        key.alias("path_id"), "current_user_id", "other_user_id", "match_group_id", F.col("cluster_id").cast("long"), "category", "path_seq", "title",
+        "common", "user1", "user2", (F.size("user1") + F.size("common")).alias("len_user1"), (F.size("user2") + F.size("common")).alias("len_user2"), "background", "is_sensitive",
+    )
+    errors = every.where("not ok").select(*one, "category", "round", F.coalesce("reason", F.lit("rejected answer")).alias("reason"))
+    return (paths, errors) if with_errors else paths

@@ -465,7 +465,7 @@ def p11(spark, sf):
     m = _members(spark, sf).withColumn("category", category())
     rows = paths.rows_of_sides(m).select(
         *GROUP, "cluster_id", "category", "row_idx", "user_id", "conversation_id", "mine", F.lit(None).cast("string").alias("title"),
-        F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"), F.lit(None).cast("string").alias("date_text"),
+        F.concat(F.lit("talk "), F.col("conversation_id").cast("string")).alias("summary"), F.lit(None).cast("string").alias("date_text"), "v",
     )
     return paths.discover_paths(rows, lambda d: complete(d, "prompt", first_ids_path), paths.saver(spark, views.shared_root(spark)))
 
