@@ -219,7 +219,8 @@ def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def cut(those: DataFrame) -> DataFrame:
-        near = texts.join(those.groupBy("_id", "_th").agg(F.collect_list("x").alias("_hits")), ["_id", "_th"])
+        # of rows that repeat a key one is cut: they lie side by side after the join
+        near = texts.join(those.groupBy("_id", "_th").agg(F.collect_list("x").alias("_hits")), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
         return near.select("_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _j int, _c long, _seg binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot:
         windows = judged(single.groupBy("_a", "_sub", "_seg").agg(F.sum("_c").alias("_c")).withColumn("_sh", F.lit(0).cast("long")))
         back = single.select("_a", "_sub", "_sh", "_j").join(windows.select("_a", "_sub").distinct(), ["_a", "_sub"])
         found = found.unionByName(back.groupBy("_a", "_sh").agg(F.bit_or(F.expr("shiftleft(1L, _j)")).alias("_bits")))
-    found = found.join(kinds.select("_a", "_sh", "_c"), ["_a", "_sh"])
+    found = found.dropDuplicates(["_a", "_sh"]).join(kinds.select("_a", "_sh", "_c"), ["_a", "_sh"])
     found = written(found)
     often = max(1, anchors.count() // 1000)
     places = anchors.select("_a", "_sh", "_id", "_th", F.shiftright("_s", 6).cast("int").alias("_at"))
@@ -328,11 +329,72 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 100
     return rows.mapInArrow(finish, schema)
 
 
+def remove_known(docs: DataFrame, reference: DataFrame, window: int = 35, shard_words: int = 20_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text: ``docs`` without the passages of ``reference`` (text).
+
+    Every word goes that lies in a run of ``window`` words which also stands in a reference
+    text, such as a benchmark's.  The reference is dealt into shards of about ``shard_words`` words,
+    which are broadcast; a task builds a shard's automaton once and streams its documents
+    through all of them for their matching statistics.
+
+    The reference may have ``max_bytes`` bytes of text, which is checked; a larger one raises
+    ValueError, and belongs into one table with the documents for :func:`remove_repeats`.  Null
+    and empty texts, of either side, have no word; repeated rows are treated alike; very long
+    texts are streamed whole; other columns are not read; an empty table gives no rows, an
+    empty reference removes nothing.
+    """
+    if window < 1:
+        raise ValueError("window must be positive")
+    known = columns(reference, "text").where("text is not null")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"a reference of {size} bytes is not broadcast, {max_bytes} at most")
+    shards: list[list[bytes]] = []
+    room = 0
+    for r in known.select("text").distinct().toLocalIterator():
+        text = b" ".join(r["text"].encode().split())
+        n = text.count(b" ") + 1 if text else 0
+        if n < window:
+            continue
+        if room <= 0:
+            shards.append([])
+            room = shard_words
+        shards[-1].append(text)
+        room -= n
+    sent = docs.sparkSession.sparkContext.broadcast(shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = []
+        for shard in sent.value:
+            automata.append(SuffixAutomaton())
+            for text in shard:
+                automata[-1].add(text.split(), 1)
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = (text or "").encode().split()
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                for a in automata:
+                    for end, _ in a.matches(words, window):
+                        edge[end - window] += 1
+                        edge[end] -= 1
+                gone = np.cumsum(edge)[: len(words)] > 0
+                kept = b" ".join(w for w, g in zip(words, gone) if not g).decode()
+                out.append((doc_id, len(words), int(gone.sum()), kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    rows = columns(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
 def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 20_000) -> DataFrame:
     """``docs``, all columns, with repeated passages cut out of the texts.
 
     A text that loses words becomes its kept words joined by one space (n_chars, if there, is
-    set to its length); others stay as they are.  Every row stays, also one left empty.
+    set to its length); others stay as they are.  Every row stays, also one left empty.  Rows that
+    repeat a (doc_id, text) lose all their windows, very long texts are cut whole, and an empty table
+    gives no rows.
     """
     names = docs.columns
     base = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), "doc_id", "text").select(

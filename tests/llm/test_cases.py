@@ -243,3 +243,64 @@ def test_near_duplicates_of_null_ids_and_odd_columns(spark):
     kept = jaccard_join.keep_one_of_each(df)
     assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 2, -(2**63): 1, 7: 1})
     assert len(pairs(kept)) == 4
+
+
+def test_licences_inside_longer_texts(spark, tmp_path):
+    """A licence after 700 lines of other words, a sentence in a line, and a tag, in Spark and in SQL."""
+    import duckdb
+
+    text = dict(license_scan.default_templates())
+    names = ["Apache-2.0", "ISC", "MPL-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Zlib", "Unlicense", "CC0-1.0"]
+    before = "\n".join(prose(5000 + i, 9) for i in range(700))
+    rows = [(i, f"{before}\n\n{text[n]}\n{prose(i, 30)}") for i, n in enumerate(names)]
+    rows += [(100, before + " This project is licensed under the MIT License. " + before), (101, "# SPDX-License-Identifier: GPL-3.0\nimport x"), (102, prose(1, 40) + " The code of this page is Released under the MIT License."), (103, before)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, w string")
+    got = [tuple(r) for r in license_scan.scan_licenses(df).collect()]
+    found = {(d, n) for d, n, *_ in got}
+    assert {(i, n) for i, n in enumerate(names)} <= found
+    assert {n for d, n in found if d >= 100} == {"MIT", "GPL-3.0"} and {d for d, _ in found if d >= 100} == {100, 101, 102}
+    best = {}
+    for d, n, _, _, dice in got:
+        best[d] = max(best.get(d, (0, "")), (dice, n))
+    assert all(best[i][0] > 0.95 for i in range(len(names)))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert key(got) == key(con.sql(license_scan.oracle()).fetchall())
+
+
+def test_repeated_rows_in_number(spark):
+    """Repeated rows cost what different rows of that length cost."""
+    import time
+
+    text, took = prose(77, 300), []
+    for n, rows in ((2, [(None, text)] * 2), (20_000, [(i, prose(i % 97, 20) + f" w{i} " * 280) for i in range(20_000)]), (20_000, [(None, text)] * 20_000)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        t = time.monotonic()
+        got = substring_dedup.remove_repeats(df, 35).groupBy("n_words", "n_removed").count().collect()
+        took.append(time.monotonic() - t)
+        if rows[0][0] is None:
+            assert [tuple(r) for r in got] == [(300, 300, n)]
+    assert took[2] < 2 * took[1] + 5
+
+
+def test_known_passages_through_broadcast_automata(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = table(spark, sf, "benchmark")
+    got = [tuple(r) for r in substring_dedup.remove_known(docs, known, window=8).collect()]
+    grams = {tuple(w[i : i + 8]) for r in known.collect() for w in [(r["text"] or "").encode().split()] for i in range(len(w) - 7)}
+    want = []
+    for r in docs.collect():
+        w = (r["text"] or "").encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 7):
+            if tuple(w[i : i + 8]) in grams:
+                gone[i : i + 8] = [True] * 8
+        want.append((r["doc_id"], len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    assert key(got) == key(want) and any(x[2] for x in want)
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "a b c", 3), (2, "a b c", 3), (3, "x a b c " + "y " * 300_000, 4)], "doc_id long, text string, words int")
+    few = spark.createDataFrame([("b c",), (None,), ("",)], "text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_known(odd, few, window=2).orderBy("doc_id", "n_words").collect()] == [0, 0, 2, 2, 2]
+    assert substring_dedup.remove_known(odd.limit(0), few, window=2).count() == 0
+    assert sum(r["n_removed"] for r in substring_dedup.remove_known(odd, few.limit(0), window=2).collect()) == 0
+    with pytest.raises(ValueError, match="bytes"):
+        substring_dedup.remove_known(odd, docs, window=8, max_bytes=1000)
