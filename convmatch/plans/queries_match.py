@@ -214,7 +214,7 @@ def k11(spark, sf):
 
 @query("k1_pca")
 def k1(spark, sf):
-    out, _ = cluster.reduce_dimensions(user_vec(spark, sf), "v", 10)
+    out, _ = cluster.reduce_dimensions(user_vec(spark, sf), "v")
     return out.select("conversation_id", "reduced")
 
 
@@ -242,12 +242,6 @@ def k5(spark, sf):
     return cluster.density_clusters(m, GROUP, "conversation_id", "v")
 
 
-@query("g1_cluster_sample", f"""WITH {MEMBERS} SELECT {IDS}, conversation_id FROM (SELECT *, row_number() OVER (PARTITION BY {IDS} ORDER BY (conversation_id * 7919) % 1000003, conversation_id) AS n FROM numbered) WHERE n <= 2""")
-def g1(spark, sf):
-    w = Window.partitionBy(*GROUP, "cluster_id").orderBy(similarity.sample_order(F.col("conversation_id")), "conversation_id")
-    return _ids(_members(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 2"), "conversation_id")
-
-
 @query("g2_numbered_block", f"""WITH {MEMBERS}, n AS (SELECT *, row_number() OVER (PARTITION BY {IDS} ORDER BY conversation_id, user_id) AS i FROM numbered)
   SELECT {IDS}, string_agg(i || '. conversation ' || conversation_id, chr(10) ORDER BY i) AS block FROM n GROUP BY ALL""")
 def g2(spark, sf):
@@ -382,40 +376,18 @@ def _side_text(rows):
     return _ids(paths.side_text(r, [*GROUP, "cluster_id", "mine"], ["row_idx"]), "mine", "block")
 
 
-@query("p3_side_text", f"""WITH {ROWS} SELECT {IDS}, user_id = current_user_id AS mine, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY row_idx) AS block FROM (SELECT *, bool_or(user_id = current_user_id) OVER c AS a,
-  bool_or(user_id <> current_user_id) OVER c AS b FROM idx WINDOW c AS (PARTITION BY {IDS})) WHERE a AND b AND row_idx % 5 <> 0 GROUP BY ALL""")
-def p3(spark, sf):
-    return _side_text(paths.rows_of_sides(_members(spark, sf)).where("row_idx % 5 <> 0"))
-
-
 @query("p3_all_side_text", f"""WITH {ROWS} SELECT {IDS}, user_id = current_user_id AS mine, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY row_idx) AS block FROM (SELECT *, bool_or(user_id = current_user_id) OVER c AS a,
   bool_or(user_id <> current_user_id) OVER c AS b FROM idx WINDOW c AS (PARTITION BY {IDS})) WHERE a AND b GROUP BY ALL""")
 def p3_all(spark, sf):
-    """All rows, where p3_side_text leaves indices out as rounds do."""
     return _side_text(paths.rows_of_sides(_members(spark, sf)))
 
 
-@query("p5_quota", f"""WITH {SIDES}, ratios(category, ratio) AS (VALUES ('research', 0.4), ('humanistic', 0.4), ('practical', 0.2), ('coding', 0.0)),
-  a AS (SELECT *, row_number() OVER (PARTITION BY current_user_id, match_group_id, category ORDER BY imbalance, cluster_id) AS n FROM balanced JOIN ratios USING (category) WHERE ratio > 0),
-  b AS (SELECT *, row_number() OVER (PARTITION BY current_user_id, match_group_id ORDER BY ratio DESC, category, n) AS path_seq FROM a WHERE n <= ceil(ratio * 4))
-  SELECT {IDS}, category, path_seq FROM b WHERE path_seq <= 4""")
-def p5(spark, sf):
-    ratios = spark.createDataFrame(list(paths.CATEGORY_RATIOS.items()), "category string, ratio double")
-    return _ids(paths.one_shot_quota(_balanced(spark, sf), ratios, GROUP, "imbalance", 4), "category", F.col("path_seq").cast("long").alias("path_seq"))
-
-
 @query("p6_greedy_choice", f"WITH {SIDES} SELECT {IDS} FROM (SELECT *, row_number() OVER (PARTITION BY current_user_id, match_group_id ORDER BY imbalance, cluster_id) AS n FROM balanced) WHERE n = 1")
 def p6(spark, sf):
     w = Window.partitionBy(*GROUP).orderBy("imbalance", "cluster_id")
     return _ids(_balanced(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 1"))
 
 
-@query("p7_budget", f"WITH {SIDES} SELECT {IDS} FROM (SELECT *, row_number() OVER (PARTITION BY current_user_id ORDER BY match_group_id, cluster_id) AS n FROM balanced) WHERE n + 3 <= 10")
-def p7(spark, sf):
-    w = Window.partitionBy("current_user_id").orderBy("match_group_id", "cluster_id")
-    return _ids(_balanced(spark, sf).withColumn("n", F.row_number().over(w)).where(F.col("n") + 3 <= 10))
-
-
 ANSWERS = """answers AS (SELECT event_id, [event_id % 5, event_id % 7, event_id % 5] AS c, [event_id % 7, event_id % 3 + 10] AS a, [event_id % 3 + 10, event_id % 4 + 11] AS b FROM events)"""
 PARSED = f"""{ANSWERS}, parsed AS (SELECT event_id, list_sort(list_distinct(c)) AS common, list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(c, x))) AS user1, b, c FROM answers),
 done AS (SELECT event_id, common, user1, list_sort(list_filter(list_distinct(b), lambda x: NOT list_contains(c, x) AND NOT list_contains(user1, x))) AS user2 FROM parsed)"""

@@ -119,15 +119,17 @@ def r2(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.redact_phone(X.redact_email(F.col("text"))).alias("text"))
 
 
-@query("r3_entropy", f"SELECT doc_id, round({_sql_entropy('substr(text, 1, 40)')}, 6) AS bits FROM documents WHERE length(text) > 0")
+@query("r3_entropy", f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+')) AS word FROM documents)
+  SELECT word, round({_sql_entropy('word')}, 6) AS bits FROM w WHERE length(word) > 0""")
 def r3(spark, sf):
-    d = t(spark, sf, "documents").where(F.length("text") > 0)
-    return d.select("doc_id", F.round(X.entropy(F.substring("text", 1, 40)), 6).alias("bits"))
+    """Every different word of all documents."""
+    words = t(spark, sf, "documents").select(F.explode(F.split("text", r"[ \t\n\x0b\f\r]+")).alias("word")).where(F.length("word") > 0).distinct()
+    return words.select("word", F.round(X.entropy(F.col("word")), 6).alias("bits"))
 
 
 @query("r3_word_entropy")
 def r3_words(spark, sf):
-    """Every word of every document, where r3_entropy and its SQL hold 40 characters."""
+    """Every word of every document, in its place."""
     return t(spark, sf, "documents").select("doc_id", X.word_entropies("text").alias("bits"))
 
 
@@ -284,19 +286,10 @@ def m2(spark, sf):
     return series.hourly(t(spark, sf, "events"), "ts").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
-@query("m3_hourly_filled", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS total FROM events WHERE event_type = 'purchase' OR event_id % 50 = 0 GROUP BY 1),
-  g AS (SELECT unnest(generate_series((SELECT min(hour) FROM h), (SELECT max(hour) FROM h), INTERVAL 1 HOUR)) AS hour)
-  SELECT strftime(g.hour, '%Y-%m-%d %H') AS hour, coalesce(total, 0) AS total FROM g LEFT JOIN h ON g.hour = h.hour""")
-def m3(spark, sf):
-    e = t(spark, sf, "events").where("event_type = 'purchase' or event_id % 50 = 0")
-    return series.hourly(e, "ts", fill=True).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
-
-
 @query("m3_all_hourly_filled", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS total FROM events GROUP BY 1),
   g AS (SELECT unnest(generate_series((SELECT min(hour) FROM h), (SELECT max(hour) FROM h), INTERVAL 1 HOUR)) AS hour)
   SELECT strftime(g.hour, '%Y-%m-%d %H') AS hour, coalesce(total, 0) AS total FROM g LEFT JOIN h ON g.hour = h.hour""")
 def m3_all(spark, sf):
-    """All events, where m3_hourly_filled thins them for the sake of gaps."""
     return series.hourly(t(spark, sf, "events"), "ts", fill=True).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 

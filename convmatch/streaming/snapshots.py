@@ -14,10 +14,16 @@ def content_hash(messages: str) -> Column:
     return F.xxhash64(F.to_json(F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))))
 
 
-def changed(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Batch twin: rows whose value differs from the previous one of their key."""
+def changed(df: DataFrame, key: str, order: list[str], value: str, ts: str | None = None, silence: float | None = None) -> DataFrame:
+    """Batch twin: rows whose value differs from the previous one of their key; with ``silence`` also
+    those that come more than so many seconds after it, by ``ts``."""
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_p"))).drop("_p", "_n")
+    new = (F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_p"))
+    df = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
+    if silence is None:
+        return df.where(new).drop("_p", "_n")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.withColumn("_g", at - F.lag(at).over(w)).where(new | (F.col("_g") > silence * 1e6)).drop("_p", "_n", "_g")
 
 
 def settled(df: DataFrame, key: str, ts: str, order: list[str], seconds: float = 1.0) -> DataFrame:
@@ -34,23 +40,32 @@ def settled_or_first(df: DataFrame, key: str, ts: str, order: list[str], seconds
     return df.withColumn("_g", nxt).withColumn("_n", F.row_number().over(w)).where("_n = 1 or _g is null or _g > %f" % (seconds * 1e6)).drop("_g", "_n")
 
 
-def changed_stream(stream: DataFrame, key: str, value: str, ts: str, late: str = "10 seconds") -> DataFrame:
-    """Stream of (key, value, ts) without repeats of the last value; state: one value a key."""
+def changed_stream(stream: DataFrame, key: str, value: str, ts: str, late: str = "10 seconds", silence: int = 86_400) -> DataFrame:
+    """Stream of (key, value, ts) without repeats of the last value.
+
+    State: the last value and time of a key, until ``silence`` seconds pass without a row of it; it
+    goes when the watermark has passed that time.  A value that comes again after such a
+    silence is new, whether its state is gone by then or not.
+    """
     kinds = dict(stream.dtypes)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, have = (state.get[0], True) if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, at = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values([ts, value], kind="stable")
         keep = []
-        for v in rows[value]:
-            keep.append(not have or v != last)
-            last, have = v, True
-        state.update((last,))
+        for v, t in zip(rows[value], rows[ts].astype("datetime64[us]").astype("int64")):
+            keep.append(at is None or v != last or t - at > silence * 1_000_000)
+            last, at = v, int(t)
+        state.update((last, at))
+        state.setTimeoutTimestamp(max(at // 1000 + silence * 1000, state.getCurrentWatermarkMs()) + 1)
         yield rows.loc[keep, [key, value, ts]]
 
     out = f"{key} {kinds[key]}, {value} {kinds[value]}, {ts} timestamp"
     stream = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return stream.select(key, value, ts).groupBy(key).applyInPandasWithState(run, out, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, value, ts).groupBy(key).applyInPandasWithState(run, out, f"last {kinds[value]}, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced_stream(stream: DataFrame, key: str, value: str, ts: str, seconds: int = 1, late: str = "10 seconds") -> DataFrame:

@@ -1,5 +1,7 @@
 """Live tables under a stream, with restarts."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ def test_stream_equals_batch_after_a_restart(spark, tmp_path, monkeypatch):
             hits[r["q_id"]].append((r["rank"], r["c_id"], r["c_user"], round(r["distance"], 5), r["meets"]))
     for n, df in enumerate(frames(spark)):
         df.coalesce(1).write.parquet(f"{root}/in/batch={n}")
+        for f in (tmp_path / "in" / f"batch={n}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))  # a stream takes files by their time
     tables = live.LiveTables(Versions(spark, f"{root}/tables"), scoring.hashed_words, probes=10**6)
     tables.start(served, none, dim=64)
     stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")

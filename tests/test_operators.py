@@ -1,6 +1,7 @@
 """Unit and property tests of the library's own operators."""
 
 import json
+import os
 from itertools import permutations
 
 import numpy as np
@@ -439,7 +440,7 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     for name, out, mode in (("ch", snapshots.changed_stream(stream, "user_id", "event_type", "ts", "1000 days"), "append"), ("db", snapshots.debounced_stream(stream, "user_id", "event_id", "ts", 600, "1 second"), "append")):
         q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
-    want = snapshots.changed(events, "user_id", ["ts", "event_type"], "event_type").count()
+    want = snapshots.changed(events, "user_id", ["ts", "event_type"], "event_type", "ts", 86_400).count()
     assert spark.table("ch").count() == want
     batch = {r["event_id"] for r in snapshots.settled(events, "user_id", "ts", ["ts", "event_id"], 600).collect()}
     got = {r["event_id"] for r in spark.table("db").collect()}
@@ -447,3 +448,24 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     seen = []
     snapshots.run_live(stream, lambda df, _: seen.append(df.count()), str(tmp_path / "live"), "user_id").awaitTermination(120)
     assert seen and seen[0] == events.select("user_id").distinct().count()
+
+
+def test_state_of_changed_keys_ends(spark, tmp_path):
+    """Batches of one file each: keys that fall silent leave the state, and what is emitted equals the batch."""
+    schema = "k long, v string, ts timestamp"
+    plan = [[(1, "a", 0), (2, "b", 1), (3, "c", 2)], [(1, "a", 30), (2, "x", 40)], [(4, "d", 5_000)], [(1, "a", 9_000)], [(9, "z", 30_000)], [(9, "y", 60_000)]]
+    rows = []
+    for n, batch in enumerate(plan):
+        df = spark.createDataFrame(batch, "k long, v string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+        for f in (tmp_path / "in" / f"b={n}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))  # a stream takes files by their time
+        rows += batch
+    out = snapshots.changed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "k", "v", "ts", silence=3_600)
+    q = out.writeStream.format("memory").queryName("ended").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination(300)
+    total = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(total) >= 3 and total[-1] == 1  # the last batch's key, of five
+    all_rows = spark.createDataFrame(rows, "k long, v string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+    want = snapshots.changed(all_rows, "k", ["ts"], "v", "ts", 3_600).select("k", "v", "ts").collect()
+    assert sorted(map(tuple, spark.table("ended").collect())) == sorted(map(tuple, want)) and len(want) == 8
