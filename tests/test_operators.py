@@ -453,7 +453,8 @@ def test_streams_equal_batch(spark, sf, tmp_path):
 def test_state_of_changed_keys_ends(spark, tmp_path):
     """Batches of one file each: keys that fall silent leave the state, and what is emitted equals the batch."""
     schema = "k long, v string, ts timestamp"
-    plan = [[(1, "a", 0), (2, "b", 1), (3, "c", 2)], [(1, "a", 30), (2, "x", 40)], [(4, "d", 5_000)], [(1, "a", 9_000)], [(9, "z", 30_000)], [(9, "y", 60_000)]]
+    # times after 1970 began, which is where a watermark starts
+    plan = [[(1, "a", 100), (2, "b", 101), (3, "c", 102)], [(1, "a", 130), (2, "x", 140)], [(4, "d", 5_000)], [(1, "a", 9_000)], [(9, "z", 30_000)], [(9, "y", 60_000)]]
     rows = []
     for n, batch in enumerate(plan):
         df = spark.createDataFrame(batch, "k long, v string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
