@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,30 +46,71 @@ def gap_sessions(df: DataFrame, by: list[str], order: list[str], ts: str, second
     return gaps(df, by, order, ts).withColumn("session", F.sum((F.col("gap") > seconds).cast("long")).over(o))
 
 
-def pelt(x: np.ndarray, min_size: int = 3, penalty: float | None = None) -> list[int]:
+#: Rows up to which a series' kernel is held whole.
+WHOLE_KERNEL = 2_000
+
+
+def _features(x: np.ndarray, width: float, count: int = 512) -> np.ndarray:
+    """Fourier features: inner products of rows are about ``exp(-d * d / width)``.
+
+    The frequencies are normal quantiles of an evenly spread sequence (the base of each
+    dimension a prime), which for the few dimensions of a series errs less than random ones.
+    """
+    half = count // 2
+    even = np.empty((half, x.shape[1]))
+    primes = [p for p in range(2, 2 + 20 * x.shape[1]) if all(p % q for q in range(2, p))]
+    normal = NormalDist().inv_cdf
+    for d, base in enumerate(primes[: x.shape[1]]):
+        for i in range(half):
+            u, f, rest = 0.0, 1.0 / base, i + 1
+            while rest:
+                u, f, rest = u + f * (rest % base), f / base, rest // base
+            even[i, d] = normal(u)
+    turn = x @ (even.T * np.sqrt(2 / width))
+    return np.hstack([np.cos(turn), np.sin(turn)]) / np.sqrt(half)
+
+
+def _segment_sums(x: np.ndarray, whole: int):
+    """``f(starts, t)``: the sums of the kernel over all pairs of rows of the segments [start, t).
+
+    The kernel is Gaussian, its width the median squared distance.  Up to ``whole`` rows it is held
+    itself; the sums of longer series come from prefix sums of Fourier features, in memory that
+    grows with the rows.
+    """
+    n = len(x)
+    if n <= whole:
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        med = np.median(d[np.triu_indices(n, 1)])
+        k = np.exp(-np.clip(d / (med if med > 0 else 1.0), 1e-2, 1e2))
+        np.fill_diagonal(k, 1.0)
+        total = np.zeros((n + 1, n + 1))
+        total[1:, 1:] = k.cumsum(0).cumsum(1)
+        return lambda s, t: total[t, t] - total[s, t] - total[t, s] + total[s, s]
+    r = np.random.default_rng(13)
+    i, j = r.integers(0, n, 200_000), r.integers(0, n, 200_000)
+    med = np.median(((x[i] - x[j]) ** 2).sum(1)[i != j])
+    f = _features(x, med if med > 0 else 1.0)
+    sums = np.vstack([np.zeros(f.shape[1]), f]).cumsum(0)
+    return lambda s, t: ((sums[t] - sums[s]) ** 2).sum(1)
+
+
+def pelt(x: np.ndarray, min_size: int = 3, penalty: float | None = None, whole: int = WHOLE_KERNEL) -> list[int]:
     """Change points of the rows of ``x`` with the Gaussian-kernel cost, pruned search."""
     n = len(x)
     if n < 2 * min_size:
         return []
     penalty = np.log(n) if penalty is None else penalty
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    med = np.median(d[np.triu_indices(n, 1)])
-    k = np.exp(-np.clip(d / (med if med > 0 else 1.0), 1e-2, 1e2))
-    np.fill_diagonal(k, 1.0)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(0).cumsum(1)
-    best, prev, live = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), [0]
+    block = _segment_sums(np.asarray(x, dtype=float), whole)
+    best, prev, live = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.array([0])
     best[0] = -penalty
     for t in range(min_size, n + 1):
-        starts = np.array([s for s in live if t - s >= min_size])
-        if not len(starts):
-            continue
-        block = total[t, t] - total[starts, t] - total[t, starts] + total[starts, starts]
-        value = best[starts] + (t - starts) - block / (t - starts) + penalty
+        ready = live[: np.searchsorted(live, t - min_size, side="right")]
+        value = best[ready] + (t - ready) - block(ready, t) / (t - ready) + penalty
         i = int(value.argmin())
-        best[t], prev[t] = value[i], starts[i]
-        drop = set(starts[value - penalty > best[t]].tolist())
-        live = [s for s in live if s not in drop] + [t]
+        best[t], prev[t] = value[i], ready[i]
+        keep = np.ones(len(live), dtype=bool)
+        keep[: len(ready)] = value - penalty <= best[t]
+        live = np.append(live[keep], t)
     cuts, t = [], n
     while t > 0:
         t = int(prev[t])

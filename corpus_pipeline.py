@@ -55,7 +55,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts as token pieces in sequences of at most 2048 tokens and 256 pieces.
 
     Null and empty texts, as those that lost all words before, are one token; null doc_ids and
-    repeated rows are packed like others; an empty table gives no rows.
+    repeated rows are packed like others; other columns are dropped; an empty table gives no rows.
     """
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), 2048, 0, max_docs=256)
 

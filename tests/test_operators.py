@@ -305,6 +305,21 @@ def test_clusters_on_blobs(spark):
 def test_change_points():
     gaps = np.array([1.0] * 20 + [600.0] * 20 + [1.0] * 20)[:, None]
     assert series.pelt(gaps) == [20, 40] and series.pelt(gaps[:4]) == []
+    r = np.random.default_rng(3)
+
+    def steps(n, cuts):
+        cuts = np.sort(r.choice(np.arange(20, n - 20), cuts, replace=False))
+        return cuts, (r.normal(size=(len(cuts) + 1, 2)) * 6)[np.searchsorted(cuts, np.arange(n), side="right")] + r.normal(size=(n, 2)) * 0.3
+
+    pairs = []
+    for n in (300, 300, 600, 600, 900, 900, 1_200, 1_200, 1_500, 1_900):
+        _, x = steps(n, n // 150)
+        pairs.append((series.pelt(x, whole=0), series.pelt(x)))  # features against the whole kernel
+    assert sum(a == b for a, b in pairs) >= 9
+    assert all(len(a) == len(b) and max(np.abs(np.subtract(a, b)), default=0) <= 1 for a, b in pairs)
+    cuts, x = steps(30_000, 120)  # a kernel of this series would have 7 GB
+    got = series.pelt(x)
+    assert set(got) <= set(cuts.tolist()) and len(got) >= 90
 
 
 def test_z_score_without_spread(spark):
