@@ -353,7 +353,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
     The document with the least doc_id of each component stays, and of rows that repeat its
     doc_id the one with the least text hash; rows with a null doc_id stay, and so do texts
-    without a word.  An empty table gives no rows; columns of any name pass.
+    without a word.  Very long texts are compared whole; an empty table gives no rows; columns of
+    any name pass.
     """
     found = near_duplicates(docs, k, percent).where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()

@@ -252,7 +252,7 @@ def pack_documents(
     all three residuals choose the bin.
 
     Null text counts as empty (its one token is ``end_id``); repeated rows are packed once
-    each, null doc_ids too; documents longer than ``capacity`` are cut; an empty table gives no
+    each, null doc_ids too; documents longer than ``capacity``, however long, are cut; an empty table gives no
     rows; other columns are not read.  The pieces are written once, so texts are tokenized once.
     """
     limits = (max_docs or capacity, max_attention or capacity * capacity)

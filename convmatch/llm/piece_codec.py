@@ -243,7 +243,7 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256.  Null text counts as empty (begin
     and end ids only, decoded to the empty text); repeated rows give repeated results; an
-    empty table gives none.  One pass without a shuffle; a worker keeps at most a million
+    empty table gives none; very long texts are encoded whole; other columns are not read.  One pass without a shuffle; a worker keeps at most a million
     cached words, whatever the input.
     """
 

@@ -119,8 +119,11 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000
     """Fit on at most ``max_rows`` labelled documents, taken by a hash of doc_id.
 
     Grades: 0 toxic, 1 not toxic but of low quality, 2 of good quality.  Labels that miss a
-    value are left out.  Texts stay on the executors; their features reach the driver.
-    Returns None if fewer than two labelled documents are there.
+    value are left out.  Texts stay on the executors; their features reach the driver: ``max_rows``
+    rows of no more features than a text has different words.  Returns None if fewer than two
+    labelled documents are there, as in empty tables.  Null and empty texts have no word; rows that
+    repeat a doc_id count once each; very long texts are hashed whole; other columns of
+    either table, whatever their names, are not read.
     """
     graded = columns(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
     graded = graded.groupBy("doc_id").agg(F.min(F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2)).alias("grade"))
@@ -149,6 +152,8 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, least: float =
 
     ``kept`` if the tail probability is ``least`` or more.  Null and empty texts have no
     word and get the model's base rate; without a model grades are null and all is kept.
+    Repeated rows are graded alike, null doc_ids too; very long texts are hashed whole; other
+    columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

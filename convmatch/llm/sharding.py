@@ -46,7 +46,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows_per_block: int = 100
     block, and only the blocks' counts meet, so no task holds a whole shard.
 
     Null doc_id counts as the key 0; null text has size 1 and crc32 null; repeated rows get
-    slots of their own; an empty table gives no rows.
+    slots of their own; very long texts are measured whole; other columns are not read; an empty
+    table gives no rows.
     """
     rows = columns(docs, "doc_id", "text").select(
         "doc_id",

@@ -304,3 +304,34 @@ def test_known_passages_through_broadcast_automata(spark, sf):
     assert sum(r["n_removed"] for r in substring_dedup.remove_known(odd, few.limit(0), window=2).collect()) == 0
     with pytest.raises(ValueError, match="bytes"):
         substring_dedup.remove_known(odd, docs, window=8, max_bytes=1000)
+
+
+LONG = [(1, "w" * 100_000, "en", "s"), (2, "word " * 120_000, "en", "s"), (3, " ".join(f"w{i % 977}" for i in range(100_000)), "de", "s"), (4, "short text", "de", "s")]
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda d: sharding.shard_documents(d),
+        lambda d: substring_dedup.remove_repeats(d),
+        lambda d: packing.pack_documents(d, queries.vocabulary("byte_bpe_50k.tiktoken")).groupBy("doc_id").agg(F.sum("length").alias("n")),
+        lambda d: language_id.detect_language(d, language_id.fit_language_model(d)),
+        lambda d: quality_model.grade_documents(d, None),
+        lambda d: jaccard_join.near_duplicates(d),
+        lambda d: quality_rules.judge_quality(d),
+        lambda d: piece_codec.encode_documents(d, queries.vocabulary("piece_bpe_32k.model")),
+    ],
+    ids=["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10"],
+)
+def test_very_long_texts(spark, run):
+    df = spark.createDataFrame(LONG, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r.asDict() for r in run(df).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    words = {1: 1, 2: 120_000, 3: 100_000, 4: 2}
+    for i, r in got.items():
+        if "n_words" in r:
+            assert r["n_words"] == words[i]
+        if "n_shingles" in r:
+            assert r["n_shingles"] == {1: 1, 2: 1, 3: 977, 4: 1}[i]
+        if "n_removed" in r:
+            assert r["n_removed"] == {1: 0, 2: 120_000, 3: 100_000, 4: 0}[i]
