@@ -50,7 +50,7 @@ def gap_sessions(df: DataFrame, by: list[str], order: list[str], ts: str, second
 WHOLE_KERNEL = 2_000
 
 
-def _features(x: np.ndarray, width: float, count: int = 512) -> np.ndarray:
+def _features(x: np.ndarray, width: float, count: int) -> np.ndarray:
     """Fourier features: inner products of rows are about ``exp(-d * d / width)``.
 
     The frequencies are normal quantiles of an evenly spread sequence (the base of each
@@ -89,7 +89,8 @@ def _segment_sums(x: np.ndarray, whole: int):
     r = np.random.default_rng(13)
     i, j = r.integers(0, n, 200_000), r.integers(0, n, 200_000)
     med = np.median(((x[i] - x[j]) ** 2).sum(1)[i != j])
-    f = _features(x, med if med > 0 else 1.0)
+    # as many as 200 MB of sums hold: the longer a series, the clearer a change in it has to be
+    f = _features(x, med if med > 0 else 1.0, int(np.clip(25_000_000 // n, 256, 4096)) // 2 * 2)
     sums = np.vstack([np.zeros(f.shape[1]), f]).cumsum(0)
     return lambda s, t: ((sums[t] - sums[s]) ** 2).sum(1)
 

@@ -313,10 +313,10 @@ def test_change_points():
 
     pairs = []
     for n in (300, 300, 600, 600, 900, 900, 1_200, 1_200, 1_500, 1_900):
-        _, x = steps(n, n // 150)
+        cuts, x = steps(n, n // 150)
         pairs.append((series.pelt(x, whole=0), series.pelt(x)))  # features against the whole kernel
-    assert sum(a == b for a, b in pairs) >= 9
-    assert all(len(a) == len(b) and max(np.abs(np.subtract(a, b)), default=0) <= 1 for a, b in pairs)
+        assert set(pairs[-1][0]) <= {c + i for c in cuts for i in (-1, 0, 1)}
+    assert sum(a == b for a, b in pairs) >= 9  # a change near the penalty may be missed by one of them
     cuts, x = steps(30_000, 120)  # a kernel of this series would have 7 GB
     got = series.pelt(x)
     assert set(got) <= set(cuts.tolist()) and len(got) >= 90
