@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import balance, cluster, graph, paths, scoring, serving, similarity, vector_index, versions
+from ..operators import auction, balance, cluster, graph, paths, scoring, serving, similarity, vector_index, versions
 from . import views
 from .views import MATCHES, MEMBERS, PATHS, SIDES, SIMS, USER_VEC, USERS, t, user_vec
 
@@ -295,6 +295,12 @@ def v9(spark, sf):
     return similarity.matched_similarity(m.select(*GROUP, "cluster_id", "side", "v"), [*GROUP, "cluster_id"], "side").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("v9_auction_matching")
+def v9_auction(spark, sf):
+    m = cluster.match_members(_top(spark, sf), user_vec(spark, sf)).withColumn("side", F.col("user_id") == F.col("current_user_id"))
+    return auction.auction_matching(m.select(*GROUP, "side", "v"), GROUP, "side", gap=0.005)
+
+
 Z = "CASE WHEN stddev_pop({0}) OVER g > 1e-12 THEN ({0} - avg({0}) OVER g) / stddev_pop({0}) OVER g ELSE 0 END"
 SCALED = f"""{SIDES}, scaled AS (SELECT *, {Z.format('imbalance')} AS zi, {Z.format('magnitude')} AS zm FROM balanced WINDOW g AS (PARTITION BY current_user_id, match_group_id))"""
 
