@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .density import density_clusters
 from .tables import saver
+from .ward_rounds import chain_merges, ward_in_rounds
 
 
 def reduce_dimensions(df: DataFrame, v: str, k: int = 100) -> tuple[DataFrame, list[float]]:
@@ -32,29 +33,7 @@ def ward(x: np.ndarray, k: int | None = None, distance: float | None = None) ->
     n = len(x)
     if n == 0:
         return np.empty(0, dtype=int)
-    centre, size, live = x.astype(float).copy(), np.ones(n), np.ones(n, dtype=bool)
-    merges, chain = [], []
-    for _ in range(n - 1):
-        if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
-        while True:
-            a = chain[-1]
-            d = 2 * size[a] * size / (size[a] + size) * ((centre - centre[a]) ** 2).sum(1)
-            d[~live] = np.inf
-            d[a] = np.inf
-            b = int(d.argmin())
-            if len(chain) > 1 and d[chain[-2]] <= d[b]:
-                b = chain[-2]
-            if len(chain) > 1 and b == chain[-2]:
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        merges.append((float(np.sqrt(d[b])), min(a, b), max(a, b)))
-        lo, hi = min(a, b), max(a, b)
-        centre[lo] = (centre[lo] * size[lo] + centre[hi] * size[hi]) / (size[lo] + size[hi])
-        size[lo] += size[hi]
-        live[hi] = False
-    merges.sort(key=lambda m: m[0])
+    merges = sorted(((h, lo, hi) for lo, hi, h in chain_merges(x, np.ones(n))), key=lambda m: m[0])
     take = [m for m in merges if m[0] <= distance] if distance is not None else merges[: n - min(k or 1, n)]
     parent = list(range(n))
 
@@ -71,12 +50,12 @@ def ward(x: np.ndarray, k: int | None = None, distance: float | None = None) ->
 
 def ward_clusters(df: DataFrame, by: list[str], key: str, v: str, k: int | None = None, distance: float | None = None, max_items: int | None = None, tries: int = 5) -> DataFrame:
     """by, key, label.  With ``max_items`` starts at ceil(n / max_items) clusters and adds one
-    until the largest fits, no try helps or ``tries`` are over.  A group holds two users' newest
-    conversations (:func:`match_members`); a larger one is refused."""
+    until the largest fits, no try helps or ``tries`` are over.  A group of up to ``ONE_TASK``
+    rows is one task; larger ones go in rounds (:func:`~convmatch.operators.ward_rounds.ward_in_rounds`)."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values(key, kind="stable")
+        pdf = pdf.sort_values(key, kind="stable")
         x = np.stack(pdf[v].to_numpy())
         if max_items is None:
             label = ward(x, k, distance)
@@ -90,18 +69,24 @@ def ward_clusters(df: DataFrame, by: list[str], key: str, v: str, k: int | None
                 last, c = most, c + 1
         return pdf[[*by, key]].assign(label=label.astype("int64"))
 
-    return df.select(*by, key, v).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", label long")
+    save = saver(df.sparkSession)
+    rows = save(df.select(*by, key, v))
+    sizes = rows.groupBy(*[F.col(c).alias(f"_{n}_of_group") for n, c in enumerate(by)]).agg(F.count(F.lit(1)).alias("_size"))
+    large = save(sizes.where(F.col("_size") > ONE_TASK).drop("_size"))
+    same = [F.col(f"_{n}_of_group").eqNullSafe(F.col(c)) for n, c in enumerate(by)]
+    some = not large.isEmpty()
+    small = rows.join(large, same, "left_anti") if some else rows
+    out = small.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", label long")
+    if some:
+        out = out.unionByName(ward_in_rounds(rows.join(large, same, "left_semi"), by, key, v, k, distance, max_items, tries, save, ONE_TASK))
+    return out
 
 
 #: Conversations of a user that take part in matching: the newest (fixed value).
 NEWEST = 1500
 
-
-def bounded(pdf: pd.DataFrame, most: int = 2 * NEWEST) -> pd.DataFrame:
-    """A match group, which holds two users' newest rows; more is a caller's mistake."""
-    if len(pdf) > most:
-        raise ValueError(f"a group of {len(pdf)} rows: take each user's newest {most // 2} first")
-    return pdf
+#: Rows of a group that one task clusters: two users' newest.
+ONE_TASK = 2 * NEWEST
 
 
 def match_members(top: DataFrame, vectors: DataFrame, newest: int = NEWEST, order: str = "conversation_id") -> DataFrame:

@@ -211,8 +211,6 @@ def test_clusters_without_rows_and_of_unbounded_groups(spark, monkeypatch):
     for f in (cluster.ward_clusters, cluster.density_clusters):
         out = f(none, ["g"], "id", "v")
         assert out.columns[:3] == ["g", "id", "label"] and out.count() == 0
-    with pytest.raises(ValueError, match="newest"):
-        cluster.bounded(np.zeros(11), most=10)
     v = spark.createDataFrame([(u, u * 100 + i, [float(i)]) for u in (1, 2) for i in range(9)], "user_id long, conversation_id long, v array<double>")
     top = spark.createDataFrame([(1, 2, 0)], "user_id long, other_id long, match_group_id int")
     got = cluster.match_members(top, v, newest=4).groupBy("user_id").agg(F.min("conversation_id")).collect()
