@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assemble, balance, cluster, graph, match_run, paths, scoring, series, serving, versions
-from ..sources import exports
+from ..sources import archives, exports
 from ..streaming import live
 from . import queries_match as M
 from . import views
@@ -120,6 +120,16 @@ def r6(spark, sf):
     return exports.exchanges(exports.redact_exports(_archive(spark, sf)))[0].select("conversation_id", "time", "question")
 
 
+@query("r7_bulk_archives", f"""WITH {LIST}, {TREE}, e AS (SELECT * FROM list UNION ALL SELECT * FROM tree)
+  SELECT (conv_id % 20)::VARCHAR AS user_id, conv_id::VARCHAR AS conversation_id, date, time, nullif(question, '') AS question, nullif(answer, '') AS answer FROM e""")
+def r7(spark, sf):
+    lines = spark.read.text(archive(spark, sf)).select("*", F.expr("from_json(value, 'conversation_id string, uuid string')").alias("c"))
+    rows = lines.select("user", "provider", F.col("value").alias("item"), F.coalesce("c.conversation_id", "c.uuid", F.lit("")).alias("key"))
+    path = folder(spark)
+    archives.write_archives(rows, path, ["key"])
+    return _dated(exports.exchanges(archives.read_archives(spark, path)[0])[0]).drop("title")
+
+
 @query("s4_user_tables", f"WITH {EXCHANGES} SELECT user_id, conversation_id, turn, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE answer END AS answer FROM exchanges")
 def s4(spark, sf):
     e, path = views.exchanges(spark, sf).select("user_id", "conversation_id", "turn", "answer"), folder(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..functions import text as X
+from ..functions.repair import repair_json
 from ..operators import assemble, scoring, series
 from ..sources import exports
 from ..streaming import snapshots
@@ -196,6 +197,24 @@ def c8(spark, sf):
     return t(spark, sf, "events").select("event_id", F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(F.try_parse_json(X.json_object(F.col("props"))), "$.k", "bigint")).alias("k"))
 
 
+@query("c8_repaired_completion", """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+  CASE WHEN event_id % 6 < 5 THEN event_type END AS kind, CASE WHEN event_id % 6 = 5 THEN 'no object' END AS reason FROM events""")
+def c8_repaired(spark, sf):
+    """Completions broken in five ways by their id, and refusals."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    broken = [
+        F.concat(F.lit('{"k": '), k, F.lit(', "kind": "'), kind),  # cut off
+        F.concat(F.lit("{'k': "), k, F.lit(", 'kind': '"), kind, F.lit("'}")),  # quotes
+        F.concat(F.lit("Sure:\n```json\n{k: "), k, F.lit(',\n kind: "'), kind, F.lit('",}\n```')),  # keys and commas
+        F.concat(F.lit('{"k": '), k, F.lit(' // a count\n, "kind": '), kind, F.lit("} Done.")),  # comments and bare words
+        F.concat(F.lit('{"kind": "'), kind, F.lit('" "ids": [1, 2}, "k": '), k, F.lit("}")),  # no comma, open list
+        F.lit("I cannot answer that."),
+    ]
+    text = F.element_at(F.array(*broken), (F.col("event_id") % 6 + 1).cast("int"))
+    r = t(spark, sf, "events").select("event_id", repair_json(text).alias("r"))
+    return r.select("event_id", F.get_json_object("r.json", "$.k").cast("long").alias("k"), F.get_json_object("r.json", "$.kind").alias("kind"), "r.reason")
+
+
 @query("c10_invalid_removed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def c10(spark, sf):
     return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
