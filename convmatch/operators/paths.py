@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.repair import repair_json
 from ..functions.text import json_object
 from .balance import fit_scaler, imbalance, matched_distance, scaled_sum
 from .tables import saver
@@ -187,7 +188,8 @@ def discover_paths(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], sa
             both = sides.groupBy(*one).agg(F.max(F.when(F.col("mine"), F.col("block"))).alias("b1"), F.max(F.when(~F.col("mine"), F.col("block"))).alias("b2"))
             asked = scorer(both.select(*one, path_prompt(F.col("b1"), F.col("b2")).alias("prompt")))
             why = F.col("error") if "error" in asked.columns else F.lit(None).cast("string")
-            got = asked.withColumn("a", parse_answer(F.col("answer"))).select(*one, why.alias("reason"), "a.*")
+            whole = F.coalesce(repair_json("answer")["json"], "answer")  # a cut-off answer tells what it can
+            got = asked.withColumn("a", parse_answer(whole)).select(*one, why.alias("reason"), "a.*")
             got = save(got.join(chosen.select(*one, "other_user_id", "category", F.col("total").alias("path_seq")), one).withColumn("round", F.lit(turn)))
             if got.isEmpty():
                 save.drop(got)

@@ -363,6 +363,8 @@ def test_path_rounds(spark, tmp_path):
     assert len(few) == 1
     none = paths.discover_paths(df, lambda d: d.withColumn("answer", F.lit("{}")), save, total=2, retries=1)
     assert none.count() == 0
+    cut_off = paths.discover_paths(df, lambda d: scoring.complete(d, "prompt", lambda p: ["Sure: " + a[:-10] for a in scoring.first_ids_path(p)]), save, total=4, budget=1).collect()
+    assert [(r["common"], r["user1"], r["user2"]) for r in cut_off] == [(r["common"], r["user1"], r["user2"]) for r in few]
 
 
 def plain_paths(mine, theirs, category, vec):
