@@ -47,3 +47,8 @@ def scaled(distance: Column) -> Column:
     """0 under a similarity of 0.5, else (similarity - 0.5) * 2."""
     s = 1 - distance
     return F.when(s >= 0.5, (s - 0.5) * 2).otherwise(0.0)
+
+
+def usable(v: str) -> Column:
+    """Whether a vector is there and its components are numbers whose products stay finite."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1e150)), F.lit(False))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import usable
 from .density import in_blocks
 from .tables import saver
 
@@ -65,6 +66,7 @@ def play(at: np.ndarray, worth: np.ndarray, floor: np.ndarray, price: np.ndarray
     none, -2 of one that does not play here.  ``asks`` are the bidders that need more objects.
     """
     price, owner, n = price.copy(), owner.copy(), len(at)
+    gap = max(gap, 1e-12 * np.abs(worth[np.isfinite(worth)]).max(initial=0.0))  # a step that the prices can hold
     has, asks = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     has[owner[owner >= 0]] = True
     while True:
@@ -162,8 +164,9 @@ def auction_matching(members: DataFrame, group: list[str], side: str, v: str = "
     up to rounding.
 
     Each row of the smaller side has one of the larger.  Groups of any size, repeated rows and
-    null group values included; rows with a null side or vector take no part, and a group
-    without rows on one side has 0 pairs and null similarity.  All products of a group are computed
+    null group values included; rows with a null side or vector, or with a component that is null,
+    not finite or beyond 1e150, take no part, and a group without rows on one side has 0 pairs and
+    null similarity.  Of products above 1e12 gaps the gap is 1e-12 of the largest.  All products of a group are computed
     once, in blocks; no task holds more than two blocks of vectors, or the lists of one block
     of bidders and of the owners within their reach.
     """
@@ -171,7 +174,7 @@ def auction_matching(members: DataFrame, group: list[str], side: str, v: str = "
     own = [f"_by{n}" for n in range(len(group))]
     rows = members.select(*[F.col(c).alias(o) for c, o in zip(group, own)], F.col(side).alias("_side"), F.col(v).cast("array<double>").alias("v"))
     rows = save(rows.withColumn("i", F.monotonically_increasing_id()))
-    whole = F.col("_side").isNotNull() & F.col("v").isNotNull()
+    whole = F.col("_side").isNotNull() & usable("v")
     n = lambda s: F.count(F.when(whole & (F.col("_side") == s), 1))
     groups = save(rows.groupBy(*[F.col(o).alias(f"_{o}") for o in own]).agg(F.min("i").alias("g"), n(True).alias("n1"), n(False).alias("n2")))
     points = rows.where(whole).join(groups, [F.col(f"_{o}").eqNullSafe(F.col(o)) for o in own])

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import usable
 from .density import in_blocks
 from .tables import saver
 
@@ -101,6 +102,9 @@ def ward_merges(points: DataFrame, save: saver, few: int = 3000) -> DataFrame:
         new = new.groupBy("g", "i").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("g", "i", "e.d", "e.lo", "e.hi")
         near = save(new if near is None else near.join(many, "g", "left_semi").select("g", "i", "d", "lo", "hi").unionByName(new))
         pairs = save(near.groupBy("g", "lo", "hi").agg(F.count(F.lit(1)).alias("_k"), F.first("d").alias("d")).where("_k = 2").select("g", "lo", "hi", "d"))
+        if pairs.isEmpty():  # distances that differ by rounding alone: the least pair of each group
+            save.drop(pairs)
+            pairs = save(near.groupBy("g").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("g", "e.lo", "e.hi", "e.d"))
         side = lambda e: live.select(F.col("i").alias(e), F.col("v").alias(f"v_{e}"), F.col("n").alias(f"n_{e}"), F.col("h").alias(f"h_{e}"))
         both = pairs.join(side("lo"), "lo").join(side("hi"), "hi")
         n = F.col("n_lo") + F.col("n_hi")
@@ -158,8 +162,8 @@ def ward_in_rounds(df: DataFrame, by: list[str], key: str, v: str, k: int | None
     :func:`~convmatch.operators.cluster.ward_clusters`.
 
     Labels count from 0 in each group by the clusters' first keys.  All distances within a group
-    are computed about once, in blocks.  A row without a vector is a cluster of its own, outside
-    the count ``k``.  Rounds are few where many pairs are each other's nearest; points whose gaps
+    are computed about once, in blocks.  A row without a vector, or with a component that is null,
+    not finite or beyond 1e150, is a cluster of its own, outside the count ``k``.  Rounds are few where many pairs are each other's nearest; points whose gaps
     grow one after the other merge one pair a round.
     """
     save = save or saver(df.sparkSession)
@@ -168,7 +172,7 @@ def ward_in_rounds(df: DataFrame, by: list[str], key: str, v: str, k: int | None
     rows = save(rows.orderBy(*own, "_key").withColumn("i", F.monotonically_increasing_id()))
     groups = rows.groupBy(*[F.col(o).alias(f"_{o}") for o in own]).agg(F.min("i").alias("g"))
     rows = save(rows.join(groups, [F.col(f"_{o}").eqNullSafe(F.col(o)) for o in own]).select("g", "i", *own, "_key", "v"))
-    points = save(rows.where("v is not null").select("g", "i", "v"))
+    points = save(rows.where(usable("v")).select("g", "i", "v"))
     merges = ward_merges(points, save, few)
     if max_items is None:
         found = cut(points, merges, save, points.select("g").distinct().withColumn("k", F.lit(k or 1)) if distance is None else None, distance)

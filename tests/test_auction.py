@@ -44,7 +44,7 @@ def test_within_the_gap_of_the_best(spark):
 def test_repeated_rows_nulls_and_no_rows(spark):
     one = [0.6, 0.8]
     _held(spark, {"copies": ([one] * 70, [one] * 65 + [[0.0, 1.0]] * 9)})
-    rows = [(None, True, [1.0, 0.0]), (None, False, [0.5, 0.5]), (None, False, None), (None, None, [9.0, 9.0])]
+    rows = [(None, True, [1.0, 0.0]), (None, False, [0.5, 0.5]), (None, False, None), (None, None, [9.0, 9.0]), (None, False, [float("nan"), 1.0]), (None, True, [1e200, 1.0]), (None, True, [1.0, None])]
     df = spark.createDataFrame(rows, "g string, side boolean, v array<double>")
     assert [(x["g"], x["pairs"], x["similarity"]) for x in auction_matching(df, ["g"], "side").collect()] == [(None, 1, 0.5)]
     assert auction_matching(df.limit(0), ["g"], "side").collect() == []
@@ -67,3 +67,9 @@ def test_play_keeps_everyone_within_the_gap(seed):
     got = sum(s[o, j] for j, o in enumerate(owner) if o >= 0)
     assert not asks.any() and (price[owner < 0] == 0).all()
     assert optimal_matching(s) * n - got <= n * 0.01 + 1e-9
+
+
+def test_play_ends_on_large_worth():
+    s = np.array([[3e17, 1e17], [3e17, 2e17]])
+    _, owner, _ = auction.play(np.tile(np.arange(2), (2, 1)), s, np.full(2, -np.inf), np.zeros(2), np.full(2, -1), 1e-3)
+    assert owner.tolist() == [0, 1]

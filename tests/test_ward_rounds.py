@@ -48,8 +48,8 @@ def test_caps_distance_nulls_and_no_rows(spark):
     plain = cluster.ward_clusters(df, ["g"], "id", "v", max_items=25)
     assert _labels(ward_in_rounds(df, ["g"], "id", "v", max_items=25, few=30)) == _labels(plain)
     assert _labels(ward_in_rounds(df, ["g"], "id", "v", distance=3.0, few=30))["a"] == list(cluster.ward(p, distance=3.0))
-    odd = spark.createDataFrame([(None, 1, [0.0]), (None, 2, None), (None, 3, [0.0])], "g string, id long, v array<double>")
-    assert sorted((r["id"], r["label"]) for r in ward_in_rounds(odd, ["g"], "id", "v", k=1).collect()) == [(1, 0), (2, 1), (3, 0)]
+    odd = spark.createDataFrame([(None, 1, [0.0]), (None, 2, None), (None, 3, [0.0]), (None, 4, [float("inf")])], "g string, id long, v array<double>")
+    assert sorted((r["id"], r["label"]) for r in ward_in_rounds(odd, ["g"], "id", "v", k=1).collect()) == [(1, 0), (2, 1), (3, 0), (4, 2)]
     assert ward_in_rounds(odd.limit(0), ["g"], "id", "v", k=2).collect() == []
 
 
