@@ -42,7 +42,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, discard, key_doc_id, row_key, written
+from .common import columns, components, discard, key_doc_id, row_key, sifted, written
+from .substring_dedup import zipped
 from .wordhash import batches_of_texts, mix, text_word_hashes, window_hashes, word_hashes
 
 _CLASSES = 64
@@ -127,18 +128,6 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
             yield lo + i, shingle_set(h[at[i] : at[i + 1]], k)
 
 
-def zipped_sets(rows: DataFrame) -> DataFrame:
-    """_set, _parts and text with the text compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            z = [pack((t or "").encode()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["_set", "_parts", "_z"])
-
-    return rows.mapInArrow(run, "_set long, _parts int, _z binary")
-
-
 def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24, max_heavy: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(members, links): members are doc_id, n_shingles, _set, _n for every row; links are
     pairs (a, b) of doc_ids that connect every component of similar documents."""
@@ -215,15 +204,17 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
 
     schema = "_id long, _th long, _n long, _set long, _sketch binary, _rank long, _tokens array<int>"
     rows = written(base.select("_id", "_th", "text").mapInArrow(posting_rows, schema))
-    members = rows.select(key_doc_id().alias("doc_id"), "_n", "_set")
+    members = written(rows.select(key_doc_id().alias("doc_id"), "_n", "_set"))
     # one row for each distinct set: its least document stands for it
     sets = written(
         rows.where("_n > 0")
         .groupBy("_set", "_n")
-        .agg(F.min(F.struct(key_doc_id().isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"), F.min("_rank").alias("_rank"))
-        .select("_set", "_n", "_sketch", "_rank", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"))
+        .agg(F.min(F.struct(key_doc_id().isNull().alias("void"), "_id", "_th")).alias("r"), F.min("_sketch").alias("_sketch"), F.min("_rank").alias("_rank"), F.count(F.lit(1)).alias("_rows"))
+        .select("_set", "_n", "_sketch", "_rank", F.col("r._id").alias("_id"), F.col("r._th").alias("_th"), "_rows")
     )
-    postings = rows.where("_n > 0").join(sets.select("_set", "_n", "_id", "_th"), ["_set", "_n", "_id", "_th"], "left_semi")
+    # a set of one row needs no choice, so its list of tokens is not dealt
+    alone, copied = sifted(rows.where("_n > 0"), sets.where("_rows > 1"), ["_set", "_n"])
+    postings = alone.unionByName(copied.join(sets.select("_set", "_n", "_id", "_th"), ["_set", "_n", "_id", "_th"], "left_semi"))
     postings = postings.select("_set", "_n", "_rank", F.posexplode("_tokens").alias("_at", "_t"))
     listed = F.when(F.col("_n") >= least_listed, F.col("_n") - F.ceil(percent * F.col("_n") / 100) + 1).otherwise(0)
     # what a set has from a shingle's place on: the most it can share with a set that it first meets there
@@ -234,6 +225,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     centres = sets.select(F.col("_rank").alias("_least"), F.col("_set").alias("_centre")).dropDuplicates(["_least"])
     # one row a list, not one a posting, looks up its centre
     live = written(postings.select("_set", "_n", "_rest", "_t").join(lists.join(centres, "_least").drop("_least"), "_t"))
+    discard(rows)
 
     sized = sets.select("_set", "_n", "_sketch")
 
@@ -257,34 +249,37 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
         y = sized.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_sketch").alias("_kb"))
         near = pairs.join(x, "_a").join(y, "_b").where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
         near = near.select("_a", "_b", "_na", "_nb", "_ka", "_kb").mapInArrow(difference_fits, "_a long, _b long")
-        near = passed = written(near)
-        used = near.select(F.explode(F.array("_a", "_b")).alias("_set")).groupBy("_set").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).cast("int").alias("_parts"))
-        # written, so that Spark knows its size and can hand it to the texts instead of dealing them
-        used = written(used.join(sets.select("_set", "_id", "_th"), "_set"))
-        texts = zipped_sets(base.join(used, ["_id", "_th"]).select("_set", "_parts", "text")).dropDuplicates(["_set"])
-        # the text of a set with many pairs goes to several tasks
-        texts = texts.select("_set", "_z", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-        parts = used.select("_set", "_parts")
-        near = near.join(parts.select(F.col("_set").alias("_a"), F.col("_parts").alias("_pa")), "_a").join(parts.select(F.col("_set").alias("_b"), F.col("_parts").alias("_pb")), "_b")
-        near = near.select("_a", "_b", F.pmod(F.xxhash64("_b"), F.col("_pa")).cast("int").alias("_pa"), F.pmod(F.xxhash64("_a"), F.col("_pb")).cast("int").alias("_pb"))
+        near = written(near)
+        # a pair meets at the set with more pairs, which is dealt to several tasks if these are many
+        uses = near.select(F.explode(F.array("_a", "_b")).alias("_set")).groupBy("_set").agg(F.count(F.lit(1)).alias("_uses"))
+        met = near.join(uses.withColumnsRenamed({"_set": "_a", "_uses": "_ua"}), "_a").join(uses.withColumnsRenamed({"_set": "_b", "_uses": "_ub"}), "_b")
+        met = met.withColumn("_hub", F.expr("if(_ua >= _ub, _a, _b)")).withColumn("_set", F.expr("if(_ua >= _ub, _b, _a)"))
+        parts = F.ceil(F.greatest("_ua", "_ub") / _PAIRS)
+        met = met.select("_hub", F.pmod(F.xxhash64("_set"), parts).cast("int").alias("_part"), "_set")
+        sent = met.withColumn("_first", F.lit(0)).unionByName(met.select("_hub", "_part", F.col("_hub").alias("_set"), F.lit(1).alias("_first")).distinct())
+        sent = written(sent.join(sets.select("_set", "_id", "_th"), "_set"))
+        # texts without a pair are not dealt; of rows that repeat a key one is read
+        texts = zipped(sifted(base, sent, ["_id", "_th"])[1]).dropDuplicates(["_id", "_th"])
 
         def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows of one hub and part lie side by side, the hub's own text first."""
             unzip = zstandard.ZstdDecompressor().decompress
-            last, held = None, None
+            held = None
             for b in batches:
-                keep = []
-                for bb, za, zb in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    if bb != last:
-                        last, held = bb, shingle_set(word_hashes(unzip(zb), lower=True), k)
-                    s = shingle_set(word_hashes(unzip(za), lower=True), k)
+                pairs = []
+                for hub, x, own, z in zip(*(c.to_pylist() for c in b.columns)):
+                    s = shingle_set(word_hashes(unzip(z), lower=True), k)
+                    if own:
+                        held = s
+                        continue
                     both = len(np.intersect1d(s, held, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(held) - both))
-                yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+                    if 100 * both >= percent * (len(s) + len(held) - both):
+                        pairs.append((min(hub, x), max(hub, x)))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["_a", "_b"])
 
-        x, y = (texts.select(F.col("_set").alias(f"_{c}"), F.col("_part").alias(f"_p{c}"), F.col("_z").alias(f"_z{c}")) for c in "ab")
-        met = near.join(x, ["_a", "_pa"]).join(y, ["_b", "_pb"]).select("_a", "_b", "_za", "_zb")
-        out = written(met.mapInArrow(count_shingles, "_a long, _b long"))
-        discard(passed, used)
+        dealt = texts.join(sent, ["_id", "_th"]).repartition("_hub", "_part").sortWithinPartitions("_hub", "_part", F.desc("_first"))
+        out = written(dealt.select("_hub", "_set", "_first", "_z").mapInArrow(count_shingles, "_a long, _b long"))
+        discard(near, sent)
         return out
 
     first = verified(pairs_of("_set", "_centre", live.where("_set <> _centre")))
@@ -292,6 +287,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
     tagged = live.join(label.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_k", F.coalesce("component", "_set")).drop("component")
     middle = label.select(F.col("node").alias("_centre"), F.col("component").alias("_ck"))
     tagged = written(tagged.join(middle, "_centre", "left").withColumn("_ck", F.coalesce("_ck", "_centre")).select("_t", "_c", "_set", "_n", "_rest", "_k", "_ck"))
+    discard(live, label)
 
     def enough(overlap: Column, a: Column, b: Column) -> Column:
         """Whether sets of sizes a and b with this overlap are similar."""
@@ -357,12 +353,14 @@ def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     any name pass.
     """
     found = near_duplicates(docs, k, percent).where("doc_id is not null")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col("doc_id").cast("long").alias("_gone"))
-    kept = packed.join(gone, "_gone", "left_anti")
-    again = columns(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_gone"))
+    again = written(columns(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_gone")))
+    # rows that neither go nor repeat a doc_id pass without being dealt
+    plain, rest = sifted(packed, gone.unionByName(again), ["_gone"])
+    kept = rest.join(gone, "_gone", "left_anti")
     repeats = written(kept.join(again, "_gone", "left_semi"))
     once = repeats.withColumn("_h", F.xxhash64("_row.text", "_row")).groupBy("_gone").agg(F.min_by("_row", "_h").alias("_row"))
-    out = kept.join(again, "_gone", "left_anti").select("_row").unionByName(once.select("_row"))
+    out = plain.select("_row").unionByName(kept.join(again, "_gone", "left_anti").select("_row")).unionByName(once.select("_row"))
     return out.select(*[F.col("_row").getField(n).alias(n) for n in names])
