@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, key_doc_id, row_key, written
+from .common import columns, key_doc_id, row_key, sifted, written
 from .wordhash import batches_of_texts, mix, sliding_argmin, span_hashes, text_word_hashes, window_hashes
 
 
@@ -400,8 +400,10 @@ def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000,
     base = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), "doc_id", "text").select(
         "_row", *row_key(), "text"
     )
-    spans = repeated_spans(base.drop("_row"), zipped(base), window, k, hot, shard_words)
-    rows = base.drop("text").join(spans, ["_id", "_th"], "left")
+    spans = written(repeated_spans(base.drop("_row"), zipped(base), window, k, hot, shard_words))
+    # rows without a repeated window pass without being dealt
+    whole, rest = sifted(base, spans, ["_id", "_th"])
+    rows = rest.drop("text").join(spans, ["_id", "_th"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,7 +419,8 @@ def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000,
     others = [n for n in names if n != "text"]
     flat = rows.select(F.col("_row.text").alias("text"), "_spans", *[F.col("_row").getField(n).alias(n) for n in others])
     kinds = ["text string"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    done = flat.mapInArrow(finish, ", ".join(kinds))
+    whole = whole.select(F.col("_row.text").alias("text"), *[F.col("_row").getField(n).alias(n) for n in others])
+    done = whole.unionByName(flat.mapInArrow(finish, ", ".join(kinds)))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done.select(*[F.col(f"`{n}`") for n in names])

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from convmatch.llm import jaccard_join
+from convmatch.llm import jaccard_join, quality_rules, substring_dedup
 from convmatch.llm.common import left_out, sifted, written
 
 from . import brute
@@ -64,6 +64,10 @@ def test_stages_deal_only_rows_that_may_change(plain_joins):
     kept, moved = dealt(plain_joins, lambda: {tuple(r) for r in jaccard_join.keep_one_of_each(df, 5, 80).collect()})
     assert kept == set(rows[i] for i in range(len(rows)) if rows[i][0] < 400)
     assert moved < 0.6 * size
+    labelled = written(df.withColumns({"lang": F.lit("en"), "source": F.lit("s")}))
+    kept, moved = dealt(plain_joins, lambda: quality_rules.keep_good(labelled).count())
+    assert kept > 380
+    assert moved < 0.6 * size
 
 
 def test_sifted_loses_nothing(spark):
@@ -75,3 +79,12 @@ def test_sifted_loses_nothing(spark):
     assert others.join(keys, "id").count() == 0
     assert left_out(rows, keys, ["id"]).count() == rows.join(keys, "id", "left_anti").count()
     assert left_out(rows, keys.limit(0), ["id"]).count() == 20_001
+
+
+def test_dropped_passages_with_and_without_repeats(plain_joins):
+    r = random.Random(5)
+    passage = " ".join(f"p{r.randrange(10**9)}" for _ in range(50))
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(80)) + (f" {passage}" if i % 10 == 0 else "")) for i in range(60)]
+    rows += [(None, None), (60, ""), (61, "a few words")]
+    got = {tuple(r) for r in substring_dedup.drop_repeats(plain_joins.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, t.replace(f" {passage}", "") if t else t) for i, t in rows}
