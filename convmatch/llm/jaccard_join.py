@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, discard, key_doc_id, row_key, sifted, written
+from .common import columns, components, discard, in_arrow, key_doc_id, row_key, sifted, written
 from .substring_dedup import zipped
 from .wordhash import batches_of_texts, mix, text_word_hashes, window_hashes, word_hashes
 
@@ -154,7 +154,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                 n[0] = sum(map(len, first))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), dtype=np.int32)), pa.array(size.astype(np.int32)), pa.array(n)], ["_t", "_size", "_c"])
 
-    counted = base.select("text").mapInArrow(count_rows, "_t int, _size int, _c long").groupBy("_t", "_size").agg(F.sum("_c").alias("_c"))
+    counted = in_arrow(base.select("text"), count_rows, "_t int, _size int, _c long").groupBy("_t", "_size").agg(F.sum("_c").alias("_c"))
     counted = written(counted.where("_size <> -1 or _c > 1"))
     sizes = {r["_size"]: r["_c"] for r in counted.where("_size <> -1").collect()}  # one row a size up to _MANY
     entries = sizes.pop(-2, 0)
@@ -203,7 +203,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                 )
 
     schema = "_id long, _th long, _n long, _set long, _sketch binary, _rank long, _tokens array<int>"
-    rows = written(base.select("_id", "_th", "text").mapInArrow(posting_rows, schema))
+    rows = written(in_arrow(base.select("_id", "_th", "text"), posting_rows, schema))
     members = written(rows.select(key_doc_id().alias("doc_id"), "_n", "_set"))
     # one row for each distinct set: its least document stands for it
     sets = written(
@@ -248,7 +248,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
         x = sized.select(F.col("_set").alias("_a"), F.col("_n").alias("_na"), F.col("_sketch").alias("_ka"))
         y = sized.select(F.col("_set").alias("_b"), F.col("_n").alias("_nb"), F.col("_sketch").alias("_kb"))
         near = pairs.join(x, "_a").join(y, "_b").where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-        near = near.select("_a", "_b", "_na", "_nb", "_ka", "_kb").mapInArrow(difference_fits, "_a long, _b long")
+        near = in_arrow(near.select("_a", "_b", "_na", "_nb", "_ka", "_kb"), difference_fits, "_a long, _b long")
         near = written(near)
         # a pair meets at the set with more pairs, which is dealt to several tasks if these are many
         uses = near.select(F.explode(F.array("_a", "_b")).alias("_set")).groupBy("_set").agg(F.count(F.lit(1)).alias("_uses"))
@@ -278,7 +278,7 @@ def ngram_links(docs: DataFrame, k: int = 4, percent: int = 85, short: int = 24,
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["_a", "_b"])
 
         dealt = texts.join(sent, ["_id", "_th"]).repartition("_hub", "_part").sortWithinPartitions("_hub", "_part", F.desc("_first"))
-        out = written(dealt.select("_hub", "_set", "_first", "_z").mapInArrow(count_shingles, "_a long, _b long"))
+        out = written(in_arrow(dealt.select("_hub", "_set", "_first", "_z"), count_shingles, "_a long, _b long"))
         discard(near, sent)
         return out
 

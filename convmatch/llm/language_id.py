@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, written
+from .common import columns, discard, in_arrow, written
 
 _DIM = 2048
 #: Rows that are in double precision at once while fitting and least distances are sought.
@@ -150,9 +150,9 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, sample_rows: i
             target += w.T @ code[y]
         yield pa.RecordBatch.from_arrays([pa.array([np.linalg.solve(gram, target).tobytes()], pa.binary())], ["w"])
 
-    shown = sample.mapInArrow(features, "lang string, h long, x binary")
+    shown = in_arrow(sample, features, "lang string, h long, x binary")
     # in one order, so that equal samples give equal models
-    one = shown.repartition(1).sortWithinPartitions("lang", "h").mapInArrow(solve, "w binary")
+    one = in_arrow(shown.repartition(1).sortWithinPartitions("lang", "h"), solve, "w binary")
     weights = np.frombuffer(one.collect()[0]["w"]).reshape(_DIM + 1, -1)
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def fit_language_model(docs: DataFrame, per_language: int = 1500, sample_rows: i
 
     # a bit counts for a class by the share of the class's own texts on which it is right
     bit = np.full(code.shape, 1e-6)
-    for r in sample.mapInArrow(right, "c long, hits array<long>").toLocalIterator():
+    for r in in_arrow(sample, right, "c long, hits array<long>").toLocalIterator():
         bit[r["c"]] += np.array(r["hits"]) / counts[languages[r["c"]]]
     discard(sample)
     return LanguageModel(languages, code, weights, bit / bit.sum(1, keepdims=True))
@@ -193,7 +193,7 @@ def detect_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return in_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
@@ -213,4 +213,4 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0
                 keep += [name != "und" and s >= least for name, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, docs.schema)
+    return in_arrow(docs.select(*[F.col(f"`{n}`") for n in names]), run, docs.schema)

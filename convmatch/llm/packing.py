@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, in_arrow, written
 
 _encodings: dict[str, object] = {}
 #: Weights of the residual tokens, documents and attention cost in the choice of a bin, each a
@@ -39,8 +39,9 @@ def _encoding(ranks_file: str):
     return _encodings[ranks_file]
 
 
-def token_pieces(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 (and ids).
+def token_pieces(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, with_places: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 (and ids;
+    and :func:`numbered` in the same pass, so that a task has one worker).
 
     A document is its text's ids and ``end_id``.  Only longer documents are cut: the first
     piece takes the remainder, all others are full, so just one piece needs company.
@@ -70,7 +71,29 @@ def token_pieces(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return columns(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    rows = columns(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
+    if with_places:
+        return in_arrow(rows, lambda batches: _with_places(run(batches)), schema + _PLACES)
+    return in_arrow(rows, run, schema)
+
+
+#: What numbering adds to a schema.
+_PLACES = ", _task int, _place long"
+
+
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add _task and _place (see :func:`numbered`) to a task's pieces."""
+    seen: dict[int, int] = {}
+    task = TaskContext.get().partitionId()
+    for batch in batches:
+        length, which, n = np.unique(batch.column(batch.schema.names.index("length")).to_numpy(), return_inverse=True, return_counts=True)
+        place = np.empty(batch.num_rows, dtype=np.int64)
+        place[np.argsort(which, kind="stable")] = np.arange(batch.num_rows) - np.repeat(np.cumsum(n) - n, n)
+        place += np.array([seen.get(x, 0) for x in length.tolist()], dtype=np.int64)[which]
+        for x, c in zip(length.tolist(), n.tolist()):
+            seen[x] = seen.get(x, 0) + c
+        cols = [*batch.columns, pa.array(np.full(batch.num_rows, task, dtype=np.int32)), pa.array(place)]
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "_task", "_place"])
 
 
 def plan_bins(
@@ -169,23 +192,8 @@ def numbered(pieces: DataFrame) -> DataFrame:
 
     To be written before use, so that a repeated task cannot number anew.
     """
-    at = pieces.columns.index("length")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        task = TaskContext.get().partitionId()
-        for batch in batches:
-            length, which, n = np.unique(batch.column(at).to_numpy(), return_inverse=True, return_counts=True)
-            place = np.empty(batch.num_rows, dtype=np.int64)
-            place[np.argsort(which, kind="stable")] = np.arange(batch.num_rows) - np.repeat(np.cumsum(n) - n, n)
-            place += np.array([seen.get(x, 0) for x in length.tolist()], dtype=np.int64)[which]
-            for x, c in zip(length.tolist(), n.tolist()):
-                seen[x] = seen.get(x, 0) + c
-            cols = [*batch.columns, pa.array(np.full(batch.num_rows, task, dtype=np.int32)), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "_task", "_place"])
-
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return pieces.mapInArrow(run, ", ".join([*kinds, "_task int", "_place long"]))
+    return in_arrow(pieces, _with_places, ", ".join(kinds) + _PLACES)
 
 
 def pack_pieces(
@@ -205,8 +213,8 @@ def pack_pieces(
     and lengths repeat.  The plan is broadcast: it has at most one row a length, with a run
     for each kind of bin that the length went into, and does not grow with the pieces.
     """
-    spark, names = pieces.sparkSession, pieces.columns
-    rows = written(numbered(pieces))
+    spark, names = pieces.sparkSession, [n for n in pieces.columns if n not in ("_task", "_place")]
+    rows = written(pieces if "_place" in pieces.columns else numbered(pieces))
     sizes = rows.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -256,4 +264,4 @@ def pack_documents(
     rows; other columns are not read.  The pieces are written once, so texts are tokenized once.
     """
     limits = (max_docs or capacity, max_attention or capacity * capacity)
-    return pack_pieces(token_pieces(docs, ranks_file, capacity, end_id, with_ids), capacity, *limits, weights, choose)
+    return pack_pieces(token_pieces(docs, ranks_file, capacity, end_id, with_ids, with_places=True), capacity, *limits, weights, choose)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, key_doc_id, row_key, sifted, written
+from .common import columns, in_arrow, key_doc_id, row_key, sifted, written
 from .wordhash import batches_of_texts, mix, sliding_argmin, span_hashes, text_word_hashes, window_hashes
 
 
@@ -190,7 +190,7 @@ def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot:
                 cols = [a, ids[lo + own], ths[lo + own], first * 64 + (last - first), sh]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_a", "_id", "_th", "_s", "_sh"])
 
-    anchors = written(base.select("_id", "_th", "text").mapInArrow(anchor_rows, "_a int, _id long, _th long, _s long, _sh long"))
+    anchors = written(in_arrow(base.select("_id", "_th", "text"), anchor_rows, "_a int, _id long, _th long, _s long, _sh long"))
     # the places of a segment come together early where it is a copy
     kinds = anchors.groupBy("_a", "_sh").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_id", "_th", "_s")).alias("_r"))
     kinds = written(kinds.join(kinds.groupBy("_a").agg(F.sum("_c").alias("_all"), F.count(F.lit(1)).alias("_kinds")).where("_all > 1"), "_a").drop("_all"))
@@ -221,7 +221,7 @@ def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot:
     def cut(those: DataFrame) -> DataFrame:
         # of rows that repeat a key one is cut: they lie side by side after the join
         near = texts.join(those.groupBy("_id", "_th").agg(F.collect_list("x").alias("_hits")), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-        return near.select("_z", "_hits").mapInArrow(segments, "_a int, _sub long, _sh long, _j int, _c long, _seg binary")
+        return in_arrow(near.select("_z", "_hits"), segments, "_a int, _sub long, _sh long, _j int, _c long, _seg binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (_a, _sub): a group of rows is never parted between two shards."""
@@ -245,7 +245,8 @@ def repeated_spans(base: DataFrame, texts: DataFrame, window: int, k: int, hot:
             yield close()
 
     def judged(rows: DataFrame) -> DataFrame:
-        return rows.select("_a", "_sub", "_sh", "_seg", "_c").repartition("_a", "_sub").sortWithinPartitions("_a", "_sub").mapInArrow(shards, "_a int, _sub long, _sh long, _bits long")
+        dealt = rows.select("_a", "_sub", "_sh", "_seg", "_c").repartition("_a", "_sub").sortWithinPartitions("_a", "_sub")
+        return in_arrow(dealt, shards, "_a int, _sub long, _sh long, _bits long")
 
     found = judged(cut(wanted.where("not x._hot"))).select("_a", "_sh", "_bits")
     if not kinds.where(is_hot).isEmpty():
@@ -272,7 +273,7 @@ def zipped(base: DataFrame) -> DataFrame:
             z = [pack((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["_id", "_th", "_z"])
 
-    rows = base.select("_id", "_th", "text").mapInArrow(run, "_id long, _th long, _z binary")
+    rows = in_arrow(base.select("_id", "_th", "text"), run, "_id long, _th long, _z binary")
     # said here, so that inner and outer joins read one and the same shuffle
     return rows.where("_id is not null and _th is not null")
 
@@ -326,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 100
 
     rows = texts.join(spans, ["_id", "_th"], "left").select(key_doc_id().alias("doc_id"), "_z", "_spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return rows.mapInArrow(finish, schema)
+    return in_arrow(rows, finish, schema)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = 35, shard_words: int = 20_000, max_bytes: int = 64 << 20) -> DataFrame:
@@ -385,7 +386,7 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = 35, shard_
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     rows = columns(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return in_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 20_000) -> DataFrame:
@@ -420,7 +421,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000,
     flat = rows.select(F.col("_row.text").alias("text"), "_spans", *[F.col("_row").getField(n).alias(n) for n in others])
     kinds = ["text string"] + [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     whole = whole.select(F.col("_row.text").alias("text"), *[F.col("_row").getField(n).alias(n) for n in others])
-    done = whole.unionByName(flat.mapInArrow(finish, ", ".join(kinds)))
+    done = whole.unionByName(in_arrow(flat, finish, ", ".join(kinds)))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done.select(*[F.col(f"`{n}`") for n in names])
