@@ -38,3 +38,22 @@ def test_many_short_series(spark):
 def test_sessions_of_series_without_rows(spark):
     df = spark.createDataFrame([], "g string, id long, x double")
     assert series.change_sessions(df, ["g"], ["id"], ["x"], "id").collect() == []
+
+
+def test_sessions_by_gap_and_count_of_many_users(spark, tmp_path):
+    """30,000 users of one event, and one whose events slow down and repeat."""
+    from convmatch.plans import registry
+
+    at = lambda s: F.timestamp_seconds(F.lit(1704067200) + s)
+    many = spark.range(30_000).select(F.col("id").alias("event_id"), at(F.col("id") % 80_000).alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"))
+    # 20 runs of one event a second apart, then 20 runs of three events 600 seconds apart
+    one = [(30_000 + i, i if i < 20 else 20 + 600 * (i - 20), -1, "ab"[i % 2]) for i in range(20)]
+    one += [(31_000 + 3 * i + k, 1_000 + 600 * i + k, -1, "ab"[i % 2]) for i in range(20) for k in range(3)]
+    few = spark.createDataFrame(one, "event_id long, s long, user_id long, event_type string").select("event_id", at(F.col("s")).alias("ts"), "user_id", "event_type")
+    many.unionByName(few).write.parquet(f"{tmp_path}/events.parquet")
+    t = time.time()
+    out = registry.QUERIES["m5_sessions_by_gap_and_count"](spark, str(tmp_path)).collect()
+    assert time.time() - t < 25
+    assert len(out) == 30_040 and {r["session"] for r in out if r["user_id"] >= 0} == {0}
+    runs = {r["run_id"]: r["session"] for r in out if r["user_id"] < 0}
+    assert [runs[i] for i in sorted(runs)] == [0] * 20 + [1] * 20
