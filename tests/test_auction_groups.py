@@ -21,6 +21,26 @@ def test_whole_groups_are_within_the_gap(n, m):
         assert got - 1e-9 <= want <= upper + 1e-9 and upper - got <= 0.01 + 1e-9
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 5, 40])
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 6), (30, 30), (25, 60)])
+def test_shortest_paths_end_the_matching(monkeypatch, rounds, n, m):
+    monkeypatch.setattr(auction, "ROUNDS", rounds)
+    r = np.random.default_rng(rounds + n)
+    for s in (r.uniform(-1, 1, (n, m)), r.uniform(-1, 1, (n, m)).round(1), np.ones((n, m)), np.tile(r.uniform(size=m), (n, 1)), 3e15 * r.uniform(size=(n, m))):
+        got, upper = auction.play_whole(s, 0.01)
+        want, tiny = optimal_matching(s), 1e-9 * max(1.0, np.abs(s).max())
+        assert got - tiny <= want <= upper + tiny and upper - got <= 0.01 + tiny
+
+
+def test_many_bidders_for_few_copies():
+    """300 equal bidders for 100 of their kind: prices rise by the gap for long."""
+    r = np.random.default_rng(2)
+    a, b = (np.r_[np.repeat(np.eye(1, 32), k, 0), _unit(r, 400 - k, 32)] for k in (300, 100))
+    t = time.time()
+    got, upper = auction.play_whole(a @ b.T, 1e-4)
+    assert 0 <= upper - got <= 1e-4 and time.time() - t < 15
+
+
 def test_groups_in_one_stream_and_in_rounds(spark, monkeypatch):
     """Groups of over 70 rows in rounds, the others whole, in Arrow batches of 11 rows."""
     monkeypatch.setattr(auction, "BIDDERS", 70)
